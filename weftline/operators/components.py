@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.skew import HOT_SHARE, lookup
-from weftline.session import checkpoint
+from weftline.session import discard, written
 
 
 def _representatives(edges: DataFrame, round_no: int) -> DataFrame:
@@ -35,7 +35,7 @@ def connected_groups(pairs: DataFrame, left: str, right: str, vertices: DataFram
     constant factor. In the end the mappings are expanded backwards.
     Relabelling looks hot vertices up in a broadcast of at most 100 rows and
     spreads their edges, grouping aggregates before the shuffle, and each
-    round's edges and mapping are checkpointed.
+    round's edges and mapping are written to the shared folder.
     """
     ends = pairs.select(F.col(left).alias("src"), F.col(right).alias("dst")).where("src is not null and dst is not null")
     names = ends.select(F.explode(F.array("src", "dst")).alias("vertex"))
@@ -44,16 +44,18 @@ def connected_groups(pairs: DataFrame, left: str, right: str, vertices: DataFram
     names = names.distinct()
 
     both = ends.where("src <> dst").select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e"))
-    edges = checkpoint(both.select("e.src", "e.dst").distinct())
+    edges = written(both.select("e.src", "e.dst").distinct())
     mappings: list[DataFrame] = []
-    while total := edges.count():
-        reps = checkpoint(_representatives(edges, len(mappings)))
+    while total := edges.count():  # from the files' footers
+        reps = written(_representatives(edges, len(mappings)))
         mappings.append(reps)
         # Edges stand in both directions, so a vertex is as hot among the targets as among the sources.
         hot = reps.where(F.col("degree") >= total * HOT_SHARE).select("vertex")
         by_src = lookup(edges.withColumnRenamed("src", "vertex"), "vertex", reps, "rep", F.col("dst"), hot).select(F.col("rep").alias("a"), F.col("dst").alias("vertex"))
         by_dst = lookup(by_src, "vertex", reps, "rep", F.col("a"), hot).select(F.col("a").alias("src"), F.col("rep").alias("dst"))
-        edges = checkpoint(by_dst.where("src <> dst").distinct())
+        contracted = written(by_dst.where("src <> dst").distinct())
+        discard(edges)
+        edges = contracted
 
     if not mappings:
         return names.select(F.col("vertex").alias(out_vertex), F.col("vertex").alias(out_group))
@@ -61,7 +63,7 @@ def connected_groups(pairs: DataFrame, left: str, right: str, vertices: DataFram
     labels = mappings[-1].select("vertex", F.col("rep").alias("label"))
     for reps in reversed(mappings[:-1]):
         hooked = lookup(reps.select("vertex", F.col("rep")), "rep", labels.withColumnRenamed("vertex", "rep"), "label", F.col("vertex"))
-        labels = checkpoint(hooked.select("vertex", F.coalesce("label", "rep").alias("label")))
+        labels = written(hooked.select("vertex", F.coalesce("label", "rep").alias("label")))
     # Names are compared by their UTF-8 bytes, which is code point order.
     least = labels.groupBy("label").agg(F.min(F.least("vertex", "label")).alias("least"))
     grouped = lookup(labels, "label", least, "least", F.col("vertex")).select("vertex", "least")

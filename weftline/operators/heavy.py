@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.session import checkpoint
+from weftline.session import written
 
 #: Keys per block of the accumulator, and keys a split encodes before it hands its arrays on.
 BLOCK = 4096
@@ -64,11 +64,11 @@ def per_key_totals(df: DataFrame, key: str, value: str) -> DataFrame:
     by a distributed reduction.
     """
     split = df.select(F.col(key).cast("string").alias("key"), F.coalesce(F.col(value).cast("long"), F.lit(0)).alias("value"))
-    partial = checkpoint(split.mapInPandas(_accumulate, "key string, n long, total long"))
+    partial = written(split.mapInPandas(_accumulate, "key string, n long, total long"))
     # Null sorts first and is told apart by the flag, so joins below need no null-safe comparison.
     partial = partial.select(F.col("key").isNull().alias("none"), F.coalesce("key", F.lit("")).alias("key"), "n", "total")
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct = checkpoint(partial.select("none", "key").distinct().repartitionByRange(parts, "none", "key").sortWithinPartitions("none", "key").select("none", "key", F.spark_partition_id().alias("range"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("place")))
+    distinct = written(partial.select("none", "key").distinct().repartitionByRange(parts, "none", "key").sortWithinPartitions("none", "key").select("none", "key", F.spark_partition_id().alias("range"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("place")))
     offsets = distinct.groupBy("range").agg(F.count(F.lit(1)).alias("size"))
     offsets = offsets.select("range", F.coalesce(F.sum("size").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))  # one row per range
     coded = distinct.join(F.broadcast(offsets), "range").select("none", "key", (F.col("offset") + F.col("place")).alias("code"))

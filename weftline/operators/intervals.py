@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.session import checkpoint
+from weftline.session import written
 
 #: Intervals that a map-side pass keeps before it hands them on.
 FLUSH = 500_000
@@ -138,7 +138,7 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start: str, end: str, zone_
     ks = [f"k{i}" for i in range(len(keys))]
     valid = df.select(*columns, F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e")).where("s < e")
     typed = ", ".join(f"{k} string" for k in ks)
-    runs = checkpoint(valid.mapInPandas(_collapse(ks), f"{typed}, s long, e long").withColumn("zone", F.floor(F.col("s") / F.lit(zone_width)).cast("long")))
+    runs = written(valid.mapInPandas(_collapse(ks), f"{typed}, s long, e long").withColumn("zone", F.floor(F.col("s") / F.lit(zone_width)).cast("long")))
 
     by_zone = Window.partitionBy(*ks).orderBy("zone")
     reach = (
@@ -153,7 +153,7 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start: str, end: str, zone_
     rows = runs.select(*ks, "zone", F.lit(1).alias("kind"), "s", "e", F.lit(False).alias("none")).unionByName(reach)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartition(parts, *ks, "zone").sortWithinPartitions(*ks, "zone", "kind", "s")
-    found = checkpoint(ordered.mapInPandas(_zone_periods(ks), f"{typed}, s long, e long, before long, edge boolean, last boolean, entity_end long"))
+    found = written(ordered.mapInPandas(_zone_periods(ks), f"{typed}, s long, e long, before long, edge boolean, last boolean, entity_end long"))
 
     following = F.lead("before").over(Window.partitionBy(*ks).orderBy("s"))
     edges = found.where("edge").withColumn("e", F.when(F.col("last"), F.coalesce(following, F.col("entity_end"))).otherwise(F.col("e")))

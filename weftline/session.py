@@ -1,14 +1,15 @@
-"""Session settings that the operators rely on."""
+"""Session settings that the operators rely on, and tables that cut lineage."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints and written tables.
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder for written tables.
 
     A cluster names it in ``spark.checkpoint.dir``; only where neither that
     setting nor an earlier call fixed a folder (tests) a temporary one is made.
@@ -19,10 +20,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current.get()
     path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
     sc.setCheckpointDir(path)
-    return path
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` by a reliable checkpoint."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def written(df: DataFrame) -> DataFrame:
+    """``df`` from a table in the shared folder, which outlives any executor.
+
+    Unlike a checkpoint, a Parquet table is read by column and planned with its
+    real size; the size estimate kept by a checkpoint multiplies with every
+    join of an iteration.
+    """
+    path = f"{shared_dir(df.sparkSession)}/weftline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table made by ``written`` that nothing will read again."""
+    spark = df.sparkSession
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if "/weftline-" in path:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
