@@ -26,13 +26,13 @@ def _accumulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return pd.DataFrame({"key": pd.Series(list(codes), dtype=object), "n": counts[:n], "total": sums[:n]})
 
     for pdf in batches:
-        local, names = pd.factorize(pdf["key"], use_na_sentinel=False)
-        to = np.fromiter((codes.setdefault(None if x is None or x is np.nan else x, len(codes)) for x in names), np.int64, len(names))
+        # A dictionary, as pandas' factorize takes strings to end at a NUL.
+        local = np.fromiter((codes.setdefault(k, len(codes)) for k in pdf["key"]), np.int64, len(pdf))
         if len(codes) > len(counts):
             grow = max(2 * len(counts), len(codes)) - len(counts)
             counts, sums = np.pad(counts, (0, grow)), np.pad(sums, (0, grow))
-        counts[to] += np.bincount(local, minlength=len(names))
-        np.add.at(sums, to[local], pdf["value"].to_numpy(np.int64))
+        counts += np.bincount(local, minlength=len(counts))
+        np.add.at(sums, local, pdf["value"].to_numpy(np.int64))
         if len(codes) > FLUSH:
             yield flush()
             codes, counts, sums = {}, np.zeros(BLOCK, np.int64), np.zeros(BLOCK, np.int64)

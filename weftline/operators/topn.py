@@ -49,9 +49,12 @@ class LoserTree:
 
 def _best(pdf: pd.DataFrame, n: int) -> pd.DataFrame:
     """Sorted, without copies, and no more than ``n`` rows of a group."""
-    pdf = pdf.assign(low=-pdf["score"]).sort_values(["grp", "low", "tie", "id"], kind="stable")
-    pdf = pdf.drop_duplicates(["grp", "score", "tie", "f1", "f2"])
-    return pdf[pdf.groupby("grp", sort=False).cumcount() < n].drop(columns="low")
+    pdf = pdf.assign(low=-pdf["score"]).sort_values(["grp", "low", "tie", "id"], kind="stable", ignore_index=True)
+    changed = (pdf["grp"] != pdf["grp"].shift()).to_numpy()
+    same = np.cumsum(changed | (pdf["score"] != pdf["score"].shift()).to_numpy() | (pdf["tie"] != pdf["tie"].shift()).to_numpy())
+    # By number: pandas takes strings to end at a NUL when it looks for repeats.
+    pdf = pdf.assign(no=np.cumsum(changed), same=same).drop_duplicates(["same", "f1", "f2"])
+    return pdf[pdf.groupby("no").cumcount() < n].drop(columns=["low", "no", "same"])
 
 
 def _make_runs(n: int):
