@@ -19,11 +19,12 @@ from weftline.llm.lexicon import Lexicon, compile_lexicon, packed
 from weftline.session import shared_dir
 
 TOKENIZERS = "/opt/tokenizers"
-# Fixed value of the tokenizer: how a text is cut before merging. And its meaning for ASCII texts in the faster re.
+# Fixed values of the tokenizer: how a text is cut before merging, and what its \s means (Unicode's White_Space,
+# without the four separators that Python adds).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-ASCII_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
-#: re counts these four as white space, unlike the tokenizer.
-ODD_SPACE = re.compile("[\x1c-\x1f]")
+WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: The same for ASCII texts in the faster re.
+ASCII_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 
 #: The lexicon holds at most so many words, of at most so many characters, each met at least so often.
 MAX_WORDS, MAX_CHARS, MIN_COUNT = 65_536, 48, 8
@@ -37,8 +38,9 @@ def _splitter():
     if "split" not in _of_process:
         import regex
 
-        whole = regex.compile(PATTERN)
-        _of_process["split"] = lambda text: ASCII_PATTERN.findall(text) if text.isascii() and not ODD_SPACE.search(text) else whole.findall(text)
+        pattern = PATTERN.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]")
+        whole = regex.compile(pattern)
+        _of_process["split"] = lambda text: ASCII_PATTERN.findall(text) if text.isascii() else whole.findall(text)
     return _of_process["split"]
 
 
@@ -113,9 +115,10 @@ class _Encoder:
         """Words per text; codes of all words; of each distinct word its length and place in the two kinds of ids."""
         cut = [self.split(t) if t else [] for t in texts]
         per_text = np.fromiter(map(len, cut), np.int64, len(cut))
-        flat = np.empty(int(per_text.sum()), dtype=object)
-        flat[:] = [w for words in cut for w in words]
-        codes, names = pd.factorize(flat)
+        # A dictionary, as pandas' factorize takes strings to end at a NUL.
+        names = list(dict.fromkeys(w for words in cut for w in words))
+        number = dict(zip(names, range(len(names)), strict=True))
+        codes = np.fromiter((number[w] for words in cut for w in words), np.int64, int(per_text.sum()))
         ranks = self.lexicon.ranks([w.encode() for w in names]) if self.lexicon else np.full(len(names), -1, np.int64)
         merged, known = [], self.known
         for i in np.flatnonzero(ranks < 0).tolist():
