@@ -128,9 +128,9 @@ def message_sentences(text: str | None) -> list[str]:
         take(body, fields)
     plain, html = ([s for b in bodies[k] for s in _sentences(_WRONG.sub(_repair, b))] for k in ("plain", "html"))
     if plain and html:
-        seen = Counter(_words(s) for s in plain)
+        seen = Counter(sentence_words(s) for s in plain)
         for s in html:
-            key = _words(s)
+            key = sentence_words(s)
             if seen[key] > 0:
                 seen[key] -= 1
             else:
@@ -139,5 +139,6 @@ def message_sentences(text: str | None) -> list[str]:
     return plain or html
 
 
-def _words(sentence: str) -> str:
+def sentence_words(sentence: str) -> str:
+    """Its words in lower case, without digits, signs and single letters."""
     return " ".join(_LETTERS.findall(sentence.lower()))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.encoding import encode_corpus
+from weftline.llm.encoding import encode_corpus, with_token_counts
+from weftline.llm.mixing import mix, mix_report
+from weftline.llm.subjects import area_shares, subject_areas
 from weftline.sources.tables import table
 
 
@@ -13,5 +15,21 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p7_ids,)}
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix(with_token_counts(table(spark, d, "documents")), table(spark, d, "mix_targets"), "n_tokens")
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return mix_report(p8_mix(spark, d), table(spark, d, "mix_targets"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return subject_areas(table(spark, d, "documents"), table(spark, d, "doc_labels"), table(spark, d, "subject_areas"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return area_shares(table(spark, d, "documents"), p9_found(spark, d), table(spark, d, "subject_areas"))
+
+
+QUERIES = {f.__name__: f for f in (p7_ids, p8_mix, p8_report, p9_found, p9_shares)}
 SQL: dict[str, str] = {}
