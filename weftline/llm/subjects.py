@@ -17,11 +17,11 @@ PHRASE_SHARE = 0.007
 #: Terms are words that this share of the documents (three at least) use in other sentences.
 TERM_SHARE = 0.0005
 ROUNDS = 3
-#: A term counts for an area from this smoothed share of its sentences on; a sentence is about the best area from
-#: SUPPORT on, unless the next best comes nearer than RIVAL times that.
-PURITY, SUPPORT, RIVAL = 0.3, 0.6, 0.8
-SMOOTHING, BASE = 4, 0.01
-LIFT = 2.0
+#: A term counts for an area from this share of its sentences on, and if the odds of the area among its labelled
+#: sentences are so many times those in its language.
+PURITY, ODDS, SMOOTHING = 0.3, 3.0, 3
+#: A sentence is about the best area from SUPPORT on, unless the next best comes nearer than RIVAL times that.
+SUPPORT, RIVAL = 0.6, 0.8
 #: Sentences on an area that make a message one about it.
 SENTENCES = 3
 #: Tables of up to so many rows may be broadcast; larger ones are joined by a shuffle.
@@ -35,18 +35,19 @@ def _sized(df: DataFrame) -> DataFrame:
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows, ids, words, first = [], [], [], []
-        for row, doc_id, text in zip(pdf["row"].tolist(), pdf["doc_id"], pdf["text"], strict=True):
+        rows, ids, langs, words, first = [], [], [], [], []
+        for row, doc_id, text, lang in zip(pdf["row"].tolist(), pdf["doc_id"], pdf["text"], pdf["lang"], strict=True):
             seen = set()
             for sentence in message_sentences(text):
                 key = sentence_words(sentence)
                 if key:
                     rows.append(row)
                     ids.append(doc_id)
+                    langs.append(lang)
                     words.append(key)
                     first.append(key not in seen)
                     seen.add(key)
-        yield pd.DataFrame({"row": pd.Series(rows, dtype="int64"), "doc_id": pd.Series(ids, dtype=pdf["doc_id"].dtype), "words": pd.Series(words, dtype=object), "first": pd.Series(first, dtype=bool)})
+        yield pd.DataFrame({"row": pd.Series(rows, dtype="int64"), "doc_id": pd.Series(ids, dtype=pdf["doc_id"].dtype), "lang": pd.Series(langs, dtype=object), "words": pd.Series(words, dtype=object), "first": pd.Series(first, dtype=bool)})
 
 
 def trusted_labels(labels: DataFrame) -> DataFrame:
@@ -57,23 +58,27 @@ def trusted_labels(labels: DataFrame) -> DataFrame:
     return votes.join(voters, "doc_id").groupBy("doc_id").agg(F.array_sort(F.collect_set(good)).alias("trusted"))
 
 
-def _weights(counted: DataFrame, base: float | None) -> DataFrame:
+def _weights(counted: DataFrame) -> DataFrame:
     """``term``, ``area``, ``weight`` of the terms that stand for an area.
 
-    ``counted`` has ``term``, ``area``, ``n`` (its sentences, by weight, on the
-    area) and ``of`` (all its sentences). ``base`` is what is expected of any
-    term; None takes the area's share of all.
+    ``counted`` has ``term``, ``lang`` (the term's language), ``area``, ``n``
+    (its sentences on the area), ``labelled`` (its sentences on any area) and
+    ``of`` (all its sentences). Words that any text of a language has come with
+    its areas in the language's own proportions, and so carry none.
     """
-    if base is None:
-        whole = counted.groupBy("area").agg(F.sum("n").alias("_n")).crossJoin(F.broadcast(counted.select("term", "of").distinct().agg(F.sum("of").alias("_of"))))
-        counted = counted.join(F.broadcast(whole.select("area", (F.col("_n") / F.col("_of")).alias("base"))), "area")  # one row per area
-    else:
-        counted = counted.withColumn("base", F.lit(base))
-    share = (F.col("n") + SMOOTHING * F.col("base")) / (F.col("of") + SMOOTHING)
-    return counted.withColumn("weight", share).where((F.col("weight") >= PURITY) & (F.col("weight") > LIFT * F.col("base"))).select("term", "area", "weight")
-
-
-def label_sentences(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    terms = counted.groupBy("term", "lang").agg(F.max("labelled").alias("labelled"))
+    whole = terms.groupBy("lang").agg(F.sum("labelled").alias("_of"))
+    per_area = counted.groupBy("lang", "area").agg(F.sum("n").alias("_n"))
+    base = per_area.join(whole, "lang").select("lang", "area", F.least(F.greatest(F.col("_n") / F.col("_of"), F.lit(0.02)), F.lit(0.95)).alias("base"))
+    known = counted.join(_sized(written(base)), ["lang", "area"])
+    share = (F.col("n") + SMOOTHING * F.col("base")) / (F.col("labelled") + SMOOTHING)
+    odds = lambda p: p / (1 - p)
+    purity = (F.col("n") + SMOOTHING * 0.01) / (F.col("of") + SMOOTHING)
+    pure = known.where((odds(F.least(share, F.lit(0.999))) >= ODDS * odds(F.col("base"))) & (purity >= PURITY))
+    return pure.select("term", "area", purity.alias("weight"))
+
+
+def label_sentences(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str | None = "lang") -> DataFrame:
     """``row``, ``doc_id``, ``sid``, ``area`` of the sentences that are about an area.
 
     ``row`` tells repeated rows of ``documents`` apart. The graph joins
@@ -81,22 +86,27 @@ def label_sentences(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_
     sentences and terms, so no pairs of sentences are formed. Edges are
     verified: sentences that PHRASE_SHARE of all documents have word for word
     and terms of fewer documents than TERM_SHARE are left out, and a term
-    carries an area only as far as its sentences agree on it (PURITY, LIFT).
-    Seeds are the majority labels of ``labels``; their documents stay clamped:
-    no sentence of theirs gets an area that the annotators didn't give. Each
-    of ROUNDS rounds passes areas from terms to sentences and back by joins
-    and sums; documents keep every area their sentences get.
+    carries an area only as far as its sentences agree on it (PURITY), beyond
+    what is usual in its language (ODDS): that in which most documents with it
+    are, by the first two letters of ``lang``, null being one more.
+    Seeds are the majority labels of ``labels``; while labels spread their
+    documents stay clamped: no sentence of theirs passes on an area that the
+    annotators didn't give. Each of ROUNDS rounds passes areas from terms to
+    sentences and back by joins and sums. In the end every document keeps all
+    areas that its sentences get, the seeds too, as annotators make mistakes.
     """
-    numbered = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null").withColumn("row", F.monotonically_increasing_id())
+    language = F.lower(F.substring(F.col(lang), 1, 2)) if lang else F.lit("")
+    numbered = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(language, F.lit("")).alias("lang")).where("text is not null").withColumn("row", F.monotonically_increasing_id())
     kind = documents.schema[doc_id].dataType.simpleString()
-    said = written(numbered.mapInPandas(_extract, f"row long, doc_id {kind}, words string, first boolean").withColumn("sid", F.monotonically_increasing_id()))
+    said = written(numbered.mapInPandas(_extract, f"row long, doc_id {kind}, lang string, words string, first boolean").withColumn("sid", F.monotonically_increasing_id()))
     n_documents = documents.count()
 
     phrases = written(said.where("first").groupBy("words").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(4, PHRASE_SHARE * n_documents)).select("words"))
     own = said.join(_sized(phrases), "words", "left_anti")
-    split = own.select("row", "doc_id", "sid", F.array_distinct(F.filter(F.split("words", " "), lambda w: F.length(w) > 2)).alias("terms"))
-    counts = split.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("of"))
-    terms = written(counts.where(F.col("of") >= max(3, TERM_SHARE * n_documents)))
+    split = own.select("row", "doc_id", "lang", "sid", F.array_distinct(F.filter(F.split("words", " "), lambda w: F.length(w) > 2)).alias("terms"))
+    counts = split.select("lang", F.explode("terms").alias("term")).groupBy("term", "lang").agg(F.count(F.lit(1)).alias("n"))
+    by_term = counts.groupBy("term").agg(F.sum("n").alias("of"), F.max_by("lang", F.struct("n", "lang")).alias("lang"))
+    terms = written(by_term.where(F.col("of") >= max(3, TERM_SHARE * n_documents)))
 
     seeds = trusted_labels(labels)
     known = seeds.select("doc_id", "trusted")
@@ -104,25 +114,27 @@ def label_sentences(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_
     vocabulary = _sized(terms)
 
     # First what the seeds say: each sentence of a labelled document counts for its areas in equal parts.
-    of_seeds = placed.where("trusted is not null").select("trusted", F.explode("terms").alias("term")).join(vocabulary.select("term"), "term")
-    seen = of_seeds.groupBy("term").agg(F.count(F.lit(1)).alias("of"))
+    of_seeds = placed.where("trusted is not null").select("trusted", F.explode("terms").alias("term")).join(vocabulary.select("term", "lang"), "term")
+    seen = of_seeds.groupBy("term", "lang").agg(F.count(F.lit(1)).alias("of"))
     given = of_seeds.select("term", F.explode("trusted").alias("area"), (1 / F.size("trusted")).alias("part")).groupBy("term", "area").agg(F.sum("part").alias("n"))
-    weights = written(_weights(given.join(seen, "term"), None))
+    weights = written(_weights(given.join(seen, "term").withColumn("labelled", F.col("of"))))
 
     exploded = placed.select("sid", F.explode("terms").alias("term"))
     for round_no in range(ROUNDS + 1):
         scores = exploded.join(_sized(weights), "term").groupBy("sid", "area").agg(F.sum("weight").alias("score"))
         ranked = scores.groupBy("sid").agg(F.max(F.struct("score", "area")).alias("best"), F.sort_array(F.collect_list("score"), asc=False).alias("all"))
         sure = ranked.where((F.col("best.score") >= SUPPORT) & (F.coalesce(F.try_element_at("all", F.lit(2)), F.lit(0.0)) <= RIVAL * F.col("best.score")))
-        labelled = placed.join(sure.select("sid", "best.area"), "sid").where("trusted is null or array_contains(trusted, area)")
+        labelled = placed.join(sure.select("sid", "best.area"), "sid")
         if round_no == ROUNDS:
             return labelled.select("row", "doc_id", "sid", "area")
-        agreed = labelled.select("area", F.explode("terms").alias("term")).groupBy("term", "area").agg(F.count(F.lit(1)).alias("n"))
-        weights = written(_weights(agreed.join(vocabulary, "term"), BASE))
+        passing = labelled.where("trusted is null or array_contains(trusted, area)")
+        agreed = written(passing.select("area", F.explode("terms").alias("term")).groupBy("term", "area").agg(F.count(F.lit(1)).alias("n")).join(vocabulary, "term"))
+        counted = agreed.join(agreed.groupBy("term").agg(F.sum("n").alias("labelled")), "term")
+        weights = written(_weights(counted))
     raise AssertionError
 
 
-def subject_areas(documents: DataFrame, labels: DataFrame, areas: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def subject_areas(documents: DataFrame, labels: DataFrame, areas: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str | None = "lang") -> DataFrame:
     """``doc_id``, ``area_code`` of each area that at least SENTENCES sentences of a message are about.
 
     What is said and what is quoted counts; null, empty and blank texts have no
@@ -130,7 +142,7 @@ def subject_areas(documents: DataFrame, labels: DataFrame, areas: DataFrame, doc
     are read whole. Of repeated rows of one ``doc_id``, any may bring in an area,
     which is given once. Other columns are ignored, whatever their names.
     """
-    sentences = label_sentences(documents, labels, doc_id, text)
+    sentences = label_sentences(documents, labels, doc_id, text, lang)
     enough = sentences.groupBy("row", "doc_id", "area").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SENTENCES)
     named = areas.select(F.col("area_code").alias("area")).distinct()
     return enough.join(named, "area").select(F.col("doc_id").alias(doc_id), F.col("area").alias("area_code")).distinct()
