@@ -108,8 +108,7 @@ def label_sentences(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_
     by_term = counts.groupBy("term").agg(F.sum("n").alias("of"), F.max_by("lang", F.struct("n", "lang")).alias("lang"))
     terms = written(by_term.where(F.col("of") >= max(3, TERM_SHARE * n_documents)))
 
-    seeds = trusted_labels(labels)
-    known = seeds.select("doc_id", "trusted")
+    known = _sized(written(trusted_labels(labels)))
     placed = split.join(known, "doc_id", "left").repartition("sid").persist(StorageLevel.DISK_ONLY)
     vocabulary = _sized(terms)
 
