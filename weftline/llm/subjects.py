@@ -17,11 +17,12 @@ PHRASE_SHARE = 0.007
 #: Terms are words that this share of the documents (three at least) use in other sentences.
 TERM_SHARE = 0.0005
 ROUNDS = 3
-#: A term counts for an area from this share of its sentences on, and if the odds of the area among its labelled
-#: sentences are so many times those in its language.
-PURITY, ODDS, SMOOTHING = 0.3, 3.0, 3
-#: A sentence is about the best area from SUPPORT on, unless the next best comes nearer than RIVAL times that.
-SUPPORT, RIVAL = 0.6, 0.8
+#: A term counts for an area from this share of its sentences on (while labels spread, and in the end), and if the
+#: odds of the area among its labelled sentences are so many times those in its language.
+SPREADING_PURITY, PURITY, ODDS, SMOOTHING = 0.15, 0.3, 3.0, 3
+#: A sentence is about the best area from this sum of its terms' shares on (while labels spread, and in the end),
+#: unless the next best comes nearer than RIVAL times that.
+SPREADING_SUPPORT, SUPPORT, RIVAL = 0.4, 0.6, 0.8
 #: Sentences on an area that make a message one about it.
 SENTENCES = 3
 #: Tables of up to so many rows may be broadcast; larger ones are joined by a shuffle.
@@ -58,12 +59,12 @@ def trusted_labels(labels: DataFrame) -> DataFrame:
     return votes.join(voters, "doc_id").groupBy("doc_id").agg(F.array_sort(F.collect_set(good)).alias("trusted"))
 
 
-def _weights(counted: DataFrame) -> DataFrame:
+def _weights(counted: DataFrame, least: float) -> DataFrame:
     """``term``, ``area``, ``weight`` of the terms that stand for an area.
 
     ``counted`` has ``term``, ``lang`` (the term's language), ``area``, ``n``
     (its sentences on the area), ``labelled`` (its sentences on any area) and
-    ``of`` (all its sentences). Words that any text of a language has come with
+    ``of`` (all its sentences); ``least`` is the share asked for. Words that any text of a language has come with
     its areas in the language's own proportions, and so carry none.
     """
     terms = counted.groupBy("term", "lang").agg(F.max("labelled").alias("labelled"))
@@ -74,7 +75,7 @@ def _weights(counted: DataFrame) -> DataFrame:
     share = (F.col("n") + SMOOTHING * F.col("base")) / (F.col("labelled") + SMOOTHING)
     odds = lambda p: p / (1 - p)
     purity = (F.col("n") + SMOOTHING * 0.01) / (F.col("of") + SMOOTHING)
-    pure = known.where((odds(F.least(share, F.lit(0.999))) >= ODDS * odds(F.col("base"))) & (purity >= PURITY))
+    pure = known.where((odds(F.least(share, F.lit(0.999))) >= ODDS * odds(F.col("base"))) & (purity >= least))
     return pure.select("term", "area", purity.alias("weight"))
 
 
@@ -116,20 +117,20 @@ def label_sentences(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_
     of_seeds = placed.where("trusted is not null").select("trusted", F.explode("terms").alias("term")).join(vocabulary.select("term", "lang"), "term")
     seen = of_seeds.groupBy("term", "lang").agg(F.count(F.lit(1)).alias("of"))
     given = of_seeds.select("term", F.explode("trusted").alias("area"), (1 / F.size("trusted")).alias("part")).groupBy("term", "area").agg(F.sum("part").alias("n"))
-    weights = written(_weights(given.join(seen, "term").withColumn("labelled", F.col("of"))))
+    weights = written(_weights(given.join(seen, "term").withColumn("labelled", F.col("of")), PURITY))
 
     exploded = placed.select("sid", F.explode("terms").alias("term"))
     for round_no in range(ROUNDS + 1):
         scores = exploded.join(_sized(weights), "term").groupBy("sid", "area").agg(F.sum("weight").alias("score"))
         ranked = scores.groupBy("sid").agg(F.max(F.struct("score", "area")).alias("best"), F.sort_array(F.collect_list("score"), asc=False).alias("all"))
-        sure = ranked.where((F.col("best.score") >= SUPPORT) & (F.coalesce(F.try_element_at("all", F.lit(2)), F.lit(0.0)) <= RIVAL * F.col("best.score")))
+        sure = ranked.where((F.col("best.score") >= (SPREADING_SUPPORT if round_no < ROUNDS else SUPPORT)) & (F.coalesce(F.try_element_at("all", F.lit(2)), F.lit(0.0)) <= RIVAL * F.col("best.score")))
         labelled = placed.join(sure.select("sid", "best.area"), "sid")
         if round_no == ROUNDS:
             return labelled.select("row", "doc_id", "sid", "area")
         passing = labelled.where("trusted is null or array_contains(trusted, area)")
         agreed = written(passing.select("area", F.explode("terms").alias("term")).groupBy("term", "area").agg(F.count(F.lit(1)).alias("n")).join(vocabulary, "term"))
         counted = agreed.join(agreed.groupBy("term").agg(F.sum("n").alias("labelled")), "term")
-        weights = written(_weights(counted))
+        weights = written(_weights(counted, SPREADING_PURITY if round_no < ROUNDS - 1 else PURITY))
     raise AssertionError
 
 
