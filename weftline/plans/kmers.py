@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.sequences import without_depth_tags
+from weftline.operators import extensions as x
+from weftline.operators import graph as g
 from weftline.operators import kmers as k
 from weftline.operators.faulty import loaded, parse_lines
 from weftline.operators.skew import lookup
@@ -46,7 +48,23 @@ def k05_annotated_tags(spark: SparkSession, d: str) -> DataFrame:
     return tagged.select("seg_id", F.concat(F.when(kept != "", F.concat(kept, F.lit("\t"))).otherwise(""), "depth_tags").alias("tags"))
 
 
-QUERIES = {f.__name__: f for f in (k01_segment_records, k04_canonical_kmers, j06_kmers_with_reads, a13_node_depths, k05_annotated_tags)}
+def _steps(spark: SparkSession, d: str) -> DataFrame:
+    return g.outgoing_steps(g.half_edges(table(spark, d, "links")))
+
+
+def k02_forward_extensions(spark: SparkSession, d: str) -> DataFrame:
+    return x.forward_extensions(_steps(spark, d), x.kept_sequences(table(spark, d, "segments")), K - 1)
+
+
+def k03_crossing_records(spark: SparkSession, d: str) -> DataFrame:
+    return x.crossing_records(_steps(spark, d), x.kept_sequences(table(spark, d, "segments")), K)
+
+
+def h17_link_sequences(spark: SparkSession, d: str) -> DataFrame:
+    return x.link_sequences(table(spark, d, "links"), x.kept_sequences(table(spark, d, "segments")))
+
+
+QUERIES = {f.__name__: f for f in (k02_forward_extensions, k03_crossing_records, h17_link_sequences, k01_segment_records, k04_canonical_kmers, j06_kmers_with_reads, a13_node_depths, k05_annotated_tags)}
 
 _KMERS = """
 with pos as (
@@ -74,7 +92,37 @@ with pos as (
   select s.name, cast(round_even(round(coalesce(sum(share), 0), 6), 0) as bigint) as kc, round(coalesce(median(share), 0), 4) as dp, round(coalesce(avg(share), 0), 4) as ad, count(share) as kn
   from (select distinct name from segments where name is not null) s left join given g on g.name = s.name group by 1
 )"""
+_REVERSED = "reverse(translate({0}, 'ACGT', 'TGCA'))"
+_EXTENSIONS = f"""
+with recursive seqs as (
+  select name, upper(arg_min(seq, seg_id)) as seq from segments where name is not null and seq <> '*' and seq <> '' group by 1
+), steps as (
+  select distinct from_seg as node, case when from_orient = '-' then '-' else '+' end as orient, to_seg as to_node, case when to_orient = '-' then '-' else '+' end as to_orient from links where from_seg is not null and to_seg is not null
+  union
+  select to_seg, case when to_orient = '-' then '+' else '-' end, from_seg, case when from_orient = '-' then '+' else '-' end from links where from_seg is not null and to_seg is not null
+), arcs as (
+  select node, orient, to_node, to_orient, case when to_orient = '-' then {_REVERSED.format('seq')} else seq end as bases from steps join seqs on name = to_node
+), grown(node, orient, here, here_orient, ext) as (
+  select node, orient, to_node, to_orient, left(bases, 6) from arcs
+  union
+  select g.node, g.orient, a.to_node, a.to_orient, left(ext || bases, 6) from grown g join arcs a on a.node = g.here and a.orient = g.here_orient where length(ext) < 6
+), extensions as (
+  select distinct node, orient, ext from grown g where length(ext) = 6 or not exists (select 1 from arcs a where a.node = g.here and a.orient = g.here_orient)
+)"""
 SQL = {
+    "k02_forward_extensions": _EXTENSIONS + " select node, orient, ext from extensions",
+    "k03_crossing_records": _EXTENSIONS + f"""
+select node, orient, right(case when orient = '-' then {_REVERSED.format('seq')} else seq end, 6) || ext as record from extensions join seqs on name = node
+where length(right(seq, 6)) + length(ext) >= 7""",
+    "h17_link_sequences": f"""
+with seqs as (
+  select name, upper(arg_min(seq, seg_id)) as seq from segments where name is not null and seq <> '*' and seq <> '' group by 1
+), pairs as (
+  select link_id, coalesce(list_sum(list_transform(regexp_extract_all(coalesce(overlap, ''), '([0-9]+)[M=XID]', 1), lambda x: cast(x as bigint))), 0) as ov,
+    case when from_orient = '-' then {_REVERSED.format('a.seq')} else a.seq end as s, case when to_orient = '-' then {_REVERSED.format('b.seq')} else b.seq end as t
+  from links join seqs a on a.name = from_seg join seqs b on b.name = to_seg
+)
+select link_id, s || case when ov < length(t) then substr(t, cast(ov as bigint) + 1) else '' end as sequence from pairs""",
     "k01_segment_records": "select seg_id, name, seq, length(seq) - 20 as n_kmers from segments where seq <> '*' and length(seq) >= 21",
     "k04_canonical_kmers": _KMERS + " select kmer, n from per_kmer",
     "j06_kmers_with_reads": _KMERS + " select p.kmer, p.n as positions, coalesce(r.n, 0) as reads from per_kmer p left join reads r using (kmer)",
