@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.sequences import organelle_name, percent_identity
 from weftline.operators import alignments as a
+from weftline.operators import chimeras
 from weftline.sources.tables import table
 
 
@@ -92,8 +93,16 @@ def w14_first_per_pair(spark: SparkSession, d: str) -> DataFrame:
     return pairs.agg(F.min("aln_id").alias("aln_id"))
 
 
+def w07_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return chimeras.chunks(_paf(spark, d))
+
+
+def w09_breakpoints(spark: SparkSession, d: str) -> DataFrame:
+    return chimeras.breakpoints(_paf(spark, d))
+
+
 QUERIES = {f.__name__: f for f in (
-    a03_aligned_bp, a04_assign_contigs, j02_on_assigned_target, j04_queries_without_segment, p03_dovetails, sc15_identity, sc14_organelles, a07_query_positions,
+    w07_chunks, w09_breakpoints, a03_aligned_bp, a04_assign_contigs, j02_on_assigned_target, j04_queries_without_segment, p03_dovetails, sc15_identity, sc14_organelles, a07_query_positions,
     a06_weighted_median, a05_place_contigs, a17_status_counts, agp1_scaffolds, a16_walked_bp, j07_overlap_counts, j08_window_votes, w06_dominant_runs, w14_first_per_pair,
 )}
 
@@ -205,5 +214,22 @@ select a.chrom, a.unit, count(b.unit) as n_overlaps from placed a left join plac
   select qname, cast(run_no as bigint) as run_no, tname, min(window_no) as first_window, max(window_no) as last_vote, cast(sum(votes) as bigint) as votes from numbered group by 1, 2, 3
 )
 select qname, run_no, tname, first_window, coalesce(lead(first_window) over (partition by qname order by run_no) - 1, last_vote) as last_window, votes from runs""",
+    "w07_chunks": _VOTES + """, changed as (
+  select *, case when lag(tname) over (partition by qname order by window_no) = tname then 0 else 1 end as new_ from votes_
+), numbered as (
+  select *, cast(sum(new_) over (partition by qname order by window_no rows unbounded preceding) as bigint) as run_no from changed
+), wholes as (
+  select qname, window_no, sum(votes) as whole from sums group by 1, 2
+), runs as (
+  select n.qname, run_no, n.tname, min(window_no) as first_window, max(window_no) as last_vote, sum(votes) as own, sum(whole) as whole from numbered n join wholes using (qname, window_no) group by 1, 2, 3
+), spans as (
+  select r.*, first_window * 5000 as cs, least(e.qe, (coalesce(lead(first_window) over (partition by r.qname order by run_no) - 1, last_vote) + 1) * 5000) as ce
+  from runs r join (select qname, max(qend) as qe from parts group by 1) e on e.qname = r.qname
+), kept as (
+  select *, case when lag(tname) over (partition by qname order by run_no) = tname then 0 else 1 end as new_ from spans where ce - cs >= 5000 and own >= 0.5 * whole
+), islands as (
+  select *, cast(sum(new_) over (partition by qname order by run_no rows unbounded preceding) as bigint) as chunk_no from kept
+)
+select qname, chunk_no, min(cs) as q_start, max(ce) as q_end, tname from islands group by qname, chunk_no, tname""",
     "w14_first_per_pair": "select least(qname, tname) as name_a, greatest(qname, tname) as name_b, min(aln_id) as aln_id from paf where qname is not null and tname <> '*' group by 1, 2",
 }

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from weftline.functions import sequences as s
 from weftline.operators import graph as g
+from weftline.operators import walks as w
 from weftline.operators.components import connected_groups
+from weftline.session import written
 from weftline.sources.tables import table
 
 
@@ -120,8 +122,34 @@ def j03_links_between_segments(spark: SparkSession, d: str) -> DataFrame:
     return links.select("link_id")
 
 
+#: Walks per component and steps per walk.
+TRIALS, STEPS, SEED = 4, 12, 0xC0FFEE
+
+
+def _walks(spark: SparkSession, d: str) -> DataFrame:
+    links, segments = table(spark, d, "links"), table(spark, d, "segments")
+    edges = written(g.half_edges(links))
+    groups = written(connected_groups(links, "from_seg", "to_seg", segments, "name", "name", "component"))
+    starts = w.walk_starts(edges, segments, groups, TRIALS)
+    return w.candidate_walks(g.outgoing_steps(edges), starts, g.segment_lengths(segments), TRIALS, STEPS, SEED)
+
+
+def h02_walk_starts(spark: SparkSession, d: str) -> DataFrame:
+    links, segments = table(spark, d, "links"), table(spark, d, "segments")
+    groups = connected_groups(links, "from_seg", "to_seg", segments, "name", "name", "component")
+    return w.walk_starts(g.half_edges(links), segments, groups, TRIALS)
+
+
+def h04_candidate_walks(spark: SparkSession, d: str) -> DataFrame:
+    return _walks(spark, d).select("component", "trial", F.array_join("nodes", ",").alias("nodes"), F.array_join("orients", "").alias("orients"), "length_bp")
+
+
+def h06_best_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return w.best_pairs(w.distinct_walks(_walks(spark, d)), g.segment_lengths(table(spark, d, "segments")))
+
+
 QUERIES = {f.__name__: f for f in (
-    sc01_overlap_length, sc02_link_sides, sc05_reverse_complement, sc10_canonical_links, sc12_walks, sc13_walk_names, sc16_kept_tags, sc19_neighbours, g12_half_edges,
+    h02_walk_starts, h04_candidate_walks, h06_best_pairs, sc01_overlap_length, sc02_link_sides, sc05_reverse_complement, sc10_canonical_links, sc12_walks, sc13_walk_names, sc16_kept_tags, sc19_neighbours, g12_half_edges,
     a08_side_degrees, a09_neighbour_counts, g04_tips, a10_bubble_members, a11_visit_budgets, a01_component_summary, g03_routed_links, u03_missing_reverse, u01_names_on_one_side,
     g22_dumped_without_link, g20_steps, g17_layers_from_tips, j03_links_between_segments,
 )}
@@ -158,6 +186,35 @@ with recursive names as (
   union
   select e.b, min(x.g) from grouped x join both_ways e on e.a = x.v join recurring.grouped y on y.v = e.b where x.g < y.g group by e.b
 )"""
+_STARTS = _GROUPS + """, half as (
+  select from_seg as node, case when from_orient = '-' then 0 else 1 end as exit_side, to_seg as to_node, case when to_orient = '-' then 1 else 0 end as to_side from links where from_seg is not null and to_seg is not null
+  union
+  select to_seg, case when to_orient = '-' then 1 else 0 end, from_seg, case when from_orient = '-' then 0 else 1 end from links where from_seg is not null and to_seg is not null
+), sides as (
+  select v as node, g as component, min(exit_side) as low, max(exit_side) as high from grouped left join half on node = v group by 1, 2
+), any_start as (
+  select component, node, coalesce(low, 1) as side, 0 as kind from sides where low is null or low = high
+  union all select component, node, unnest([0, 1]), 1 from sides where low < high
+), placed as (
+  select *, row_number() over (partition by component order by kind, node, side) as place, min(kind) over (partition by component) as first_kind from any_start
+), starts as (
+  select component, cast(place - 1 as int) as place, node, case when side = 1 then '+' else '-' end as orient from placed where place <= 4 and kind = first_kind
+)"""
+_WALKS = _STARTS + """, lens as (
+  select name, max(coalesce(seg_len, 0)) as length from segments where name is not null group by 1
+), steps as (
+  select distinct node, case when exit_side = 1 then '+' else '-' end as orient, to_node, case when to_side = 0 then '+' else '-' end as to_orient, coalesce(length, 0) as length from half left join lens on name = to_node
+), turns as (
+  select component, t as trial, t % n as place from (select component, count(*) as n from starts group by 1), (select unnest(range(0, 4)) as t)
+), going(component, trial, step, nodes, orients, length_bp) as (
+  select component, cast(trial as int), 0, [node], [orient], coalesce(length, 0) from turns join starts using (component, place) left join lens on name = node
+  union all
+  (select w.component, w.trial, w.step + 1, list_append(w.nodes, s.to_node), list_append(w.orients, s.to_orient), w.length_bp + s.length
+  from going w join steps s on s.node = w.nodes[-1] and s.orient = w.orients[-1] where w.step < 12 and not list_contains(w.nodes, s.to_node)
+  qualify row_number() over (partition by w.component, w.trial order by md5(concat_ws('|', '12648430', w.trial, w.step + 1, s.to_node, s.to_orient)), s.to_node, s.to_orient) = 1)
+), walks as (
+  select * from going qualify row_number() over (partition by component, trial order by step desc) = 1
+)"""
 SQL = {
     "sc01_overlap_length": f"select link_id, cast({_OVERLAP} as bigint) as overlap_bp from links",
     "sc02_link_sides": """select link_id, case when from_orient = '-' then 0 else 1 end as exit_side, case when to_orient = '-' then 1 else 0 end as entry_side,
@@ -212,6 +269,24 @@ select name, 'segments' as only_in from declared where name not in (from used) u
       except select node, exit_side, to_node, to_side from half""",
     "g20_steps": _HALF + " select distinct node, case when exit_side = 1 then '+' else '-' end as orient, to_node, case when to_side = 0 then '+' else '-' end as to_orient from half",
     "j03_links_between_segments": "select link_id from links where from_seg in (select name from segments) and to_seg in (select name from segments)",
+    "h02_walk_starts": _STARTS + " select component, place, node, orient from starts",
+    "h04_candidate_walks": _WALKS + " select component, trial, array_to_string(nodes, ',') as nodes, array_to_string(orients, '') as orients, cast(length_bp as bigint) as length_bp from walks",
+    "h06_best_pairs": _WALKS + """, uniq as (
+  select * from walks qualify row_number() over (partition by component, list_sort(nodes) order by trial) = 1
+), lead_ as (
+  select * from uniq qualify row_number() over (partition by component order by length_bp desc, trial) = 1
+), other as (
+  select u.component, u.trial, abs(u.length_bp - l.length_bp) <= 0.5 * l.length_bp as near, u.nodes as own, l.nodes as lead_nodes from uniq u join lead_ l using (component) where u.trial <> l.trial
+), parts as (
+  select component, trial, near, unnest(list_distinct(list_concat(own, lead_nodes))) as name, own, lead_nodes from other
+), scores as (
+  select component, trial, near, sum(coalesce(length, 0)) as u, sum(case when list_contains(own, name) and list_contains(lead_nodes, name) then 0 else coalesce(length, 0) end) as sd
+  from parts left join lens using (name) group by 1, 2, 3
+), best as (
+  select * from scores qualify row_number() over (partition by component order by near desc, u desc, sd desc, trial) = 1
+)
+select l.component, l.trial as first_trial, cast(l.length_bp as bigint) as first_bp, b.trial as second_trial, cast(coalesce(b.u, l.length_bp) as bigint) as union_bp, cast(coalesce(b.sd, 0) as bigint) as symdiff_bp
+from lead_ l left join best b using (component)""",
     "g17_layers_from_tips": _HALF.replace("with half", "with recursive half") + """, pairs as (
   select distinct node, to_node from half where node <> to_node
 ), reach(node, depth) using key (node) as (
