@@ -10,6 +10,7 @@ from weftline.operators import graph as g
 from weftline.operators import walks as w
 from weftline.operators.components import connected_groups
 from weftline.session import written
+from weftline.sources import text_formats as t
 from weftline.sources.tables import table
 
 
@@ -148,8 +149,25 @@ def h06_best_pairs(spark: SparkSession, d: str) -> DataFrame:
     return w.best_pairs(w.distinct_walks(_walks(spark, d)), g.segment_lengths(table(spark, d, "segments")))
 
 
+def snk03_graph_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of a graph file of all declarations and whole links."""
+    segments, links = table(spark, d, "segments"), g.whole_links(table(spark, d, "links"))
+    lines = segments.select(F.lit("S").alias("rec"), F.col("seg_id").alias("id"), t.segment_lines(segments).alias("line"))
+    return lines.unionByName(links.select(F.lit("L").alias("rec"), F.col("link_id").alias("id"), t.link_lines(links).alias("line")))
+
+
+def snk04_stripped_segments(spark: SparkSession, d: str) -> DataFrame:
+    segments = table(spark, d, "segments")
+    return segments.select("seg_id", t.segment_lines(segments, False).alias("line"))
+
+
+def snk05_fasta(spark: SparkSession, d: str) -> DataFrame:
+    kept = table(spark, d, "segments").where("name is not null and seq <> '*'")
+    return t.fasta_records(kept, "name", "seq", 60).withColumnRenamed("value", "record")
+
+
 QUERIES = {f.__name__: f for f in (
-    h02_walk_starts, h04_candidate_walks, h06_best_pairs, sc01_overlap_length, sc02_link_sides, sc05_reverse_complement, sc10_canonical_links, sc12_walks, sc13_walk_names, sc16_kept_tags, sc19_neighbours, g12_half_edges,
+    snk03_graph_lines, snk04_stripped_segments, snk05_fasta, h02_walk_starts, h04_candidate_walks, h06_best_pairs, sc01_overlap_length, sc02_link_sides, sc05_reverse_complement, sc10_canonical_links, sc12_walks, sc13_walk_names, sc16_kept_tags, sc19_neighbours, g12_half_edges,
     a08_side_degrees, a09_neighbour_counts, g04_tips, a10_bubble_members, a11_visit_budgets, a01_component_summary, g03_routed_links, u03_missing_reverse, u01_names_on_one_side,
     g22_dumped_without_link, g20_steps, g17_layers_from_tips, j03_links_between_segments,
 )}
@@ -269,6 +287,12 @@ select name, 'segments' as only_in from declared where name not in (from used) u
       except select node, exit_side, to_node, to_side from half""",
     "g20_steps": _HALF + " select distinct node, case when exit_side = 1 then '+' else '-' end as orient, to_node, case when to_side = 0 then '+' else '-' end as to_orient from half",
     "j03_links_between_segments": "select link_id from links where from_seg in (select name from segments) and to_seg in (select name from segments)",
+    "snk03_graph_lines": """
+select 'S' as rec, seg_id as id, concat_ws(chr(9), 'S', coalesce(name, '*'), coalesce(seq, '*'), nullif(tags, '')) as line from segments
+union all select 'L', link_id, concat_ws(chr(9), 'L', from_seg, from_orient, to_seg, to_orient, coalesce(overlap, '*'), nullif(tags, '')) from links where from_seg is not null and to_seg is not null""",
+    "snk04_stripped_segments": """
+select seg_id, concat_ws(chr(9), 'S', coalesce(name, '*'), '*', case when regexp_matches(coalesce(tags, ''), '(^|\\t)LN:') then tags else concat_ws(chr(9), nullif(tags, ''), 'LN:i:' || coalesce(seg_len, 0)) end) as line from segments""",
+    "snk05_fasta": "select '>' || name || ' len=' || length(seq) || chr(10) || regexp_replace(regexp_replace(seq, '(.{60})', '\\1' || chr(10), 'g'), '\\n$', '') as record from segments where name is not null and seq <> '*'",
     "h02_walk_starts": _STARTS + " select component, place, node, orient from starts",
     "h04_candidate_walks": _WALKS + " select component, trial, array_to_string(nodes, ',') as nodes, array_to_string(orients, '') as orients, cast(length_bp as bigint) as length_bp from walks",
     "h06_best_pairs": _WALKS + """, uniq as (
