@@ -125,7 +125,9 @@ def mix(documents: DataFrame, targets: DataFrame, size: Column | str, doc_id: st
     is met to within one document.
     """
     spark = documents.sparkSession
-    wanted = {r.source: (float(r.weight or 0), max(0, r.max_repeats or 0)) for r in targets.select("source", "weight", "max_repeats").where("source is not null").limit(MAX_CLASSES).collect()}
+    wanted = {r.source: (float(r.weight or 0), max(0, r.max_repeats or 0)) for r in targets.select("source", "weight", "max_repeats").where("source is not null").limit(MAX_CLASSES + 1).collect()}
+    if len(wanted) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} sources")
     size = F.col(size) if isinstance(size, str) else size
     own = documents.join(F.broadcast(spark.createDataFrame([(s,) for s in wanted], "_own string")), F.col(source) == F.col("_own"), "left_semi")
     rows = own.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("own_source"), size.cast("long").alias("n_tokens"), F.sha2(F.col(text), 256).alias("digest")).where("n_tokens > 0")
