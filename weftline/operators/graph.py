@@ -140,7 +140,7 @@ def layers(edges: DataFrame, starts: DataFrame) -> DataFrame:
     hot = F.broadcast(hot_keys(pairs, "node").select(F.col("node").alias("_hot")))
     salted = pairs.join(hot, F.col("node") == F.col("_hot"), "left")
     salted = written(salted.select("node", "to_node", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64("to_node"), F.lit(32))).otherwise(F.lit(0).cast("long")).alias("salt"), F.col("_hot").isNotNull().alias("hot")))
-    hot_nodes = F.broadcast(salted.where("hot").select("node").distinct().withColumn("is_hot", F.lit(True)))  # 100 at most
+    hot_nodes = F.broadcast(written(salted.where("hot").select("node").distinct().withColumn("is_hot", F.lit(True))))  # 100 at most
     seen = written(starts.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0)))
     frontier, depth = seen, 0
     while not frontier.isEmpty():

@@ -43,7 +43,7 @@ def candidate_walks(steps: DataFrame, starts: DataFrame, lengths: DataFrame, tri
     """
     sized = steps.join(lengths.select(F.col("name").alias("to_node"), "length"), "to_node", "left").na.fill(0, ["length"])
     state = F.concat("node", "orient")
-    hot = F.broadcast(hot_keys(sized.withColumn("_state", state), "_state").withColumnRenamed("_state", "_hot"))  # 100 at most
+    hot = F.broadcast(written(hot_keys(sized.withColumn("_state", state), "_state").withColumnRenamed("_state", "_hot")))  # 100 at most
     salted = sized.join(hot, F.concat("node", "orient") == F.col("_hot"), "left").withColumn("salt", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64("to_node"), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))).drop("_hot")
     salted = written(salted.select(state.alias("state"), "salt", "to_node", "to_orient", "length"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import sequences as s
 from weftline.operators import graph as g
+from weftline.operators import spines as sp
 from weftline.operators import walks as w
 from weftline.operators.components import connected_groups
 from weftline.session import written
@@ -166,8 +167,38 @@ def snk05_fasta(spark: SparkSession, d: str) -> DataFrame:
     return t.fasta_records(kept, "name", "seq", 60).withColumnRenamed("value", "record")
 
 
+def _spines(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    links, segments = table(spark, d, "links"), table(spark, d, "segments")
+    edges = written(g.half_edges(links))
+    groups = written(connected_groups(links, "from_seg", "to_seg", segments, "name", "name", "component"))
+    return edges, written(sp.spine_ends(edges, segments, groups, g.segment_lengths(segments)))
+
+
+def g07_spine_ends(spark: SparkSession, d: str) -> DataFrame:
+    return _spines(spark, d)[1]
+
+
+def g16_bubble_regions(spark: SparkSession, d: str) -> DataFrame:
+    edges, ends = _spines(spark, d)
+    return sp.bubble_regions(table(spark, d, "links"), edges, table(spark, d, "segments"), ends)
+
+
+def g18_layered_edges(spark: SparkSession, d: str) -> DataFrame:
+    edges = written(g.half_edges(table(spark, d, "links")))
+    return sp.layered_edges(edges, g.layers(edges, g.tips(edges, table(spark, d, "segments"))))
+
+
+def a20_component_tips(spark: SparkSession, d: str) -> DataFrame:
+    """Components by how many tips they have, with their segments and tips in all."""
+    links, segments = table(spark, d, "links"), table(spark, d, "segments")
+    groups = connected_groups(links, "from_seg", "to_seg", segments, "name", "node", "component")
+    tips = g.tips(g.half_edges(links), segments).select("node", F.lit(1).alias("tip"))
+    per = groups.join(tips, "node", "left").groupBy("component").agg(F.count(F.lit(1)).alias("n_segments"), F.count("tip").alias("n_tips"))
+    return per.groupBy("n_tips").agg(F.count(F.lit(1)).alias("n_components"), F.sum("n_segments").alias("n_segments"))
+
+
 QUERIES = {f.__name__: f for f in (
-    snk03_graph_lines, snk04_stripped_segments, snk05_fasta, h02_walk_starts, h04_candidate_walks, h06_best_pairs, sc01_overlap_length, sc02_link_sides, sc05_reverse_complement, sc10_canonical_links, sc12_walks, sc13_walk_names, sc16_kept_tags, sc19_neighbours, g12_half_edges,
+    g07_spine_ends, g16_bubble_regions, g18_layered_edges, a20_component_tips, snk03_graph_lines, snk04_stripped_segments, snk05_fasta, h02_walk_starts, h04_candidate_walks, h06_best_pairs, sc01_overlap_length, sc02_link_sides, sc05_reverse_complement, sc10_canonical_links, sc12_walks, sc13_walk_names, sc16_kept_tags, sc19_neighbours, g12_half_edges,
     a08_side_degrees, a09_neighbour_counts, g04_tips, a10_bubble_members, a11_visit_budgets, a01_component_summary, g03_routed_links, u03_missing_reverse, u01_names_on_one_side,
     g22_dumped_without_link, g20_steps, g17_layers_from_tips, j03_links_between_segments,
 )}
@@ -233,6 +264,36 @@ _WALKS = _STARTS + """, lens as (
 ), walks as (
   select * from going qualify row_number() over (partition by component, trial order by step desc) = 1
 )"""
+_SPINES = _GROUPS + """, names_ as (
+  select distinct name as node from segments where name is not null
+), half as (
+  select from_seg as node, case when from_orient = '-' then 0 else 1 end as exit_side, to_seg as to_node from links where from_seg is not null and to_seg is not null
+  union all select to_seg, case when to_orient = '-' then 1 else 0 end, from_seg from links where from_seg is not null and to_seg is not null
+), tip as (
+  select h.node, g as component from half h join grouped on v = h.node where h.node in (from names_) and to_node in (from names_) group by 1, 2 having min(exit_side) = max(exit_side)
+), lens as (
+  select name, max(coalesce(seg_len, 0)) as length from segments where name is not null group by 1
+), pairs as (
+  select distinct node, to_node, coalesce(length, 0) as step from half left join lens on name = to_node where node <> to_node
+), first_ as (
+  select component, min(node) as node, count(*) as n_tips from tip group by 1 having count(*) > 1
+), sweep1(node, bp) using key (node) as (
+  select node, coalesce(length, 0) from first_ left join lens on name = node
+  union
+  select p.to_node, min(x.bp + p.step) from sweep1 x join pairs p on p.node = x.node left join recurring.sweep1 y on y.node = p.to_node where y.bp is null or x.bp + p.step < y.bp group by p.to_node
+), once as (
+  select t.component, t.node from sweep1 join tip t using (node) join first_ f using (component) where t.node <> f.node
+  qualify row_number() over (partition by t.component order by bp desc, t.node) = 1
+), sweep2(node, bp) using key (node) as (
+  select node, coalesce(length, 0) from once left join lens on name = node
+  union
+  select p.to_node, min(x.bp + p.step) from sweep2 x join pairs p on p.node = x.node left join recurring.sweep2 y on y.node = p.to_node where y.bp is null or x.bp + p.step < y.bp group by p.to_node
+), ranked as (
+  select t.component, o.node as start, t.node, bp, row_number() over (partition by t.component order by bp desc, t.node) as rn from sweep2 join tip t using (node) join once o using (component) where t.node <> o.node
+), spines as (
+  select a.component, f.n_tips, least(a.start, a.node) as tip_a, greatest(a.start, a.node) as tip_b, a.bp as spine_bp, b.bp as second_bp, coalesce(b.bp > 0 and a.bp - b.bp < 100, false) as ambiguous
+  from ranked a left join ranked b on b.component = a.component and b.rn = 2 join first_ f on f.component = a.component where a.rn = 1
+)"""
 SQL = {
     "sc01_overlap_length": f"select link_id, cast({_OVERLAP} as bigint) as overlap_bp from links",
     "sc02_link_sides": """select link_id, case when from_orient = '-' then 0 else 1 end as exit_side, case when to_orient = '-' then 1 else 0 end as entry_side,
@@ -287,6 +348,20 @@ select name, 'segments' as only_in from declared where name not in (from used) u
       except select node, exit_side, to_node, to_side from half""",
     "g20_steps": _HALF + " select distinct node, case when exit_side = 1 then '+' else '-' end as orient, to_node, case when to_side = 0 then '+' else '-' end as to_orient from half",
     "j03_links_between_segments": "select link_id from links where from_seg in (select name from segments) and to_seg in (select name from segments)",
+    "a20_component_tips": _SPINES + """ select n_tips, count(*) as n_components, cast(sum(n) as bigint) as n_segments
+      from (select g, count(*) as n, count(t.node) as n_tips from grouped left join tip t on t.node = v group by g) group by 1""",
+    "g07_spine_ends": _SPINES + " select * from spines",
+    "g16_bubble_regions": _SPINES + """, other as (
+  select node from tip where node not in (select tip_a from spines) and node not in (select tip_b from spines)
+), inner_ as (
+  select from_seg as a, to_seg as b from links where from_seg is not null and to_seg is not null and from_seg not in (from other) and to_seg not in (from other)
+  union select to_seg, from_seg from links where from_seg is not null and to_seg is not null and from_seg not in (from other) and to_seg not in (from other)
+), region(v, part) using key (v) as (
+  select v, v from (select a as v from inner_ union select tip_a from spines union select tip_b from spines)
+  union
+  select e.b, min(x.part) from region x join inner_ e on e.a = x.v join recurring.region y on y.v = e.b where x.part < y.part group by e.b
+)
+select r.v as name, s.component from spines s join region a on a.v = s.tip_a join region b on b.v = s.tip_b and b.part = a.part join region r on r.part = a.part""",
     "snk03_graph_lines": """
 select 'S' as rec, seg_id as id, concat_ws(chr(9), 'S', coalesce(name, '*'), coalesce(seq, '*'), nullif(tags, '')) as line from segments
 union all select 'L', link_id, concat_ws(chr(9), 'L', from_seg, from_orient, to_seg, to_orient, coalesce(overlap, '*'), nullif(tags, '')) from links where from_seg is not null and to_seg is not null""",
@@ -319,4 +394,12 @@ from lead_ l left join best b using (component)""",
   select p.to_node, min(r.depth + 1) from reach r join pairs p on p.node = r.node where p.to_node not in (select node from recurring.reach) group by p.to_node
 )
 select node, depth from reach""",
+    "g18_layered_edges": _HALF.replace("with half", "with recursive half") + """, pairs as (
+  select distinct node, to_node from half where node <> to_node
+), reach(node, depth) using key (node) as (
+  select node, 0 from tip
+  union
+  select p.to_node, min(r.depth + 1) from reach r join pairs p on p.node = r.node where p.to_node not in (select node from recurring.reach) group by p.to_node
+)
+select distinct p.node, p.to_node, a.depth from pairs p join reach a on a.node = p.node join reach b on b.node = p.to_node where a.depth < b.depth""",
 }
