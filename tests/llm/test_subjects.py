@@ -5,8 +5,8 @@ import random
 from weftline.llm.messages import message_sentences
 from weftline.llm.subjects import area_shares, subject_areas, trusted_labels
 
-BODY = "Dear all,\n\nThe café is über full. Nobody paid\nthe bill. See below.\n\n> On Monday we met. It\n> rained.\n"
-SAID = ["Dear all,", "The café is über full.", "Nobody paid the bill.", "See below.", "On Monday we met.", "It rained."]
+BODY = "Dear all,\n\nThe café is über full. Nobody paid\nthe bill. See below.\n\nOn 3 May 2014 04:42, X Y wrote:\n> Hi X,\n>\n> On Monday we met. It\n> rained.\n\nBest,\nX Y\nlegal desk\n--\nA list footer.\n"
+SAID = ["The café is über full.", "Nobody paid the bill.", "See below.", "On Monday we met.", "It rained."]
 
 
 def test_encodings():
@@ -22,7 +22,7 @@ def test_encodings():
 
 
 def test_parts_and_html_copies():
-    html = "<html><body><p>Dear all,</p><p>The caf&eacute; is &uuml;ber full. Nobody paid the bill. See below.</p><p>&gt; On Monday we met. It</p><p>&gt; rained.</p></body></html>"
+    html = "<html><body><p>Dear all,</p><p>The caf&eacute; is &uuml;ber full. Nobody paid the bill. See below.</p><p>On 3 May 2014 04:42, X Y wrote:</p><p>&gt; Hi X,</p><p>&gt;</p><p>&gt; On Monday we met. It</p><p>&gt; rained.</p></body></html>"
     junk = base64.encodebytes(random.Random(1).randbytes(400)).decode()
     text = (
         'From: a\nMIME-Version: 1.0\nContent-Type: multipart/mixed;\n boundary="=_bnd_12"\n\n--=_bnd_1\nContent-Type: text/plain; charset="utf-8"\n\n' + BODY
@@ -30,6 +30,8 @@ def test_parts_and_html_copies():
         + '\n--=_bnd_12\nContent-Type: text/csv; name="x"\nContent-Transfer-Encoding: base64\nContent-Disposition: attachment\n\n' + junk + "--=_bnd_12--\n"
     )
     assert message_sentences(text) == SAID
+    lines = "<html><body><p>Nobody paid the bill that came on Monday, not even</p><p>the café. See below.</p></body></html>"
+    assert message_sentences("Content-Type: text/html\n\n" + lines) == ["Nobody paid the bill that came on Monday, not even the café.", "See below."]
     only = text.replace("text/plain", "image/png", 1)
     assert message_sentences(only) == SAID
 

@@ -21,9 +21,13 @@ _BASE64_BODY = re.compile(r"\s*(?:[A-Za-z0-9+/]{20,}\s+)*[A-Za-z0-9+/]+={0,2}\s*
 _SOFT = re.compile(r"=(?:[0-9A-F]{2}|\r?\n)")
 _WRONG = re.compile("[Â-Å][\u0080-¿ŒœŠšŸŽžƒˆ˜–-›€™]")
 _LINE_END = re.compile(r"\r\n?")
-_STOP = re.compile(r"(?<=[.!?])[\"')\]]*\s+(?=\S)|\n\s*\n|(?<=[,:])\n(?=\s*\n)")
+_STOP = re.compile(r"(?<=[.!?])[\"')\]]*\s+(?=\S)")
 _SPACE = re.compile(r"\s+")
 _RULE = re.compile(r"[-*_=#~]{2,}|-- ?")
+_INTRODUCTION = re.compile(r".*\d{1,2}:\d\d\b.*:|-+ ?[A-Z][\w ]*-+|(?:Sent|From|To|Cc|Date|Subject): .*")
+_ENDED = re.compile(r".*[.!?][\"')\]]*", re.DOTALL)
+#: Lines of greetings and signatures are no longer than this, and no sentence ends there.
+SHORT = 45
 _LETTERS = re.compile(r"[^\W\d_]{2,}")
 
 
@@ -62,33 +66,52 @@ def _decoded(body: str, fields: dict[str, str]) -> str:
 
 
 def _plain(html: str) -> str:
-    """The text of an HTML body; quoted lines that are paragraphs of their own stay together."""
+    """The text of an HTML body; lines that are paragraphs of their own stay together where they are quoted or a sentence goes on."""
     out: list[str] = []
+    before = ""
     for line in unescape(_TAG.sub("", _BREAK.sub("\n\n", _NEWLINE.sub("\n", html)))).split("\n\n"):
         if line := line.strip("\n"):
-            out.append(("\n" if _QUOTED.match(line) else "\n\n") + line)
+            goes_on = len(before) > SHORT and not _ENDED.fullmatch(before)
+            out.append(("\n" if goes_on or _QUOTED.match(line) else "\n\n") + line)
+            before = line.rpartition("\n")[2].rstrip()
     return "".join(out)
 
 
-def _sentences(text: str) -> list[str]:
-    """Sentences of a body; lines are joined within paragraphs, signs of quotation left out."""
-    text = _QUOTED.sub("", text)
-    kept = []
-    for line in text.split("\n"):
+def _blocks(text: str) -> list[list[str]]:
+    """Paragraphs as lists of lines, without signs of quotation, quotation headers, and whatever follows a rule."""
+    blocks: list[list[str]] = [[]]
+    ruled = False
+    for line in _QUOTED.sub("", text).split("\n"):
         line = line.strip()
-        kept.append("" if _RULE.fullmatch(line) else line)
+        if not line or _INTRODUCTION.fullmatch(line):
+            blocks.append([])
+            ruled = False
+        elif _RULE.fullmatch(line):
+            blocks.append([])
+            ruled = True
+        elif not ruled:
+            blocks[-1].append(line)
+    return [b for b in blocks if b]
+
+
+def _sentences(text: str) -> list[str]:
+    """Sentences of a body. Paragraphs of short lines that end no sentence are greetings and signatures and count for nothing."""
     found = []
-    for sentence in _STOP.split("\n".join(kept)):
-        sentence = _SPACE.sub(" ", sentence).strip()
-        if sentence:
-            found.append(sentence)
+    for lines in _blocks(text):
+        if not _ENDED.fullmatch(lines[-1]) and max(map(len, lines)) <= SHORT:
+            continue
+        for sentence in _STOP.split(" ".join(lines)):
+            sentence = _SPACE.sub(" ", sentence).strip()
+            if sentence:
+                found.append(sentence)
     return found
 
 
 def message_sentences(text: str | None) -> list[str]:
     """Every sentence of the bodies of a message, quoted ones included.
 
-    Headers, attachments and rules are left out; base64, quoted-printable and
+    Headers, attachments, greetings, signatures, quotation headers and what
+    follows a rule up to the next empty line are left out; base64, quoted-printable and
     wrongly decoded characters are undone; an HTML copy of what a plain part says
     counts once (of each sentence, the larger of the two counts). Null, empty
     and blank texts have none. Damaged multiparts are cut at whatever looks
