@@ -3,7 +3,7 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from weftline.operators.faulty import faulty_lines, loaded, parse_line, parse_lines, split_line
+from weftline.operators.faulty import align_fields, faulty_lines, loaded, parse_line, parse_lines, split_line
 
 SOUND = re.compile(r'(?:(?:"(?:[^"]|"")*"|[^"\t]+|)\t)+', re.DOTALL)
 
@@ -50,6 +50,15 @@ def test_reasons_in_order():
     assert reason(None, "S\tx\tACGT") == ("bad_value", "rec")
 
 
+def test_delimiter_edits_say_where():
+    paf = "q\t100\t1\t50\t+\tt\t200\t5\t60\t40\t50\t60".split("\t")
+    assert align_fields("PAF", paf) == [] == align_fields("PAF", [*paf, "tp:A:P"])
+    assert align_fields("PAF", paf[:4] + paf[5:]) == ["insert delimiter for strand"]
+    assert align_fields("PAF", [*paf[:1], "x", *paf[1:]]) == ["delete delimiter before field 2"]
+    assert align_fields("PAF", [*paf, "tp:A:P", "x"]) == ["delete delimiter before field 14"]
+    assert len(align_fields("L", ["L"])) == 5
+
+
 def test_over_a_table(spark):
     rows = [(1, "S", "S\tx\tACGT", "a"), (2, "S", 'S\t"x', "b"), (3, "L", "L\ta\t+\tb\t-\t5M\tNM:i:1", None), (4, "S", None, None), (5, None, "y", None), (None, "S", "S", None), (7, "S", "S\tx\t" + "A" * 300_000, None)]
     lines = spark.createDataFrame(rows, "line_id long, rec string, raw string, parsed string")

@@ -94,11 +94,50 @@ def split_line(line: str) -> tuple[list[str], list[str]]:
     return fields[::-1], edits[::-1]
 
 
-def align_fields(fields: list[str], wanted: int) -> list[str]:
-    """Delimiter edits that leave ``wanted`` fields followed by nothing but tags."""
-    if len(fields) < wanted:
-        return ["insert delimiter at the end"] * (wanted - len(fields))
-    return [f"delete delimiter before field {i + 1}" for i, x in enumerate(fields) if i >= wanted and not TAG.fullmatch(x)]
+def fits(rec: str, name: str, value: str) -> bool:
+    """Whether a value by itself may stand in the column."""
+    if name == "rec":
+        return value == rec
+    return bool(PATTERNS.get(name, DIGITS).fullmatch(value))
+
+
+def align_fields(rec: str, fields: list[str]) -> list[str]:
+    """The fewest delimiter edits that leave the record's columns followed by nothing but tags.
+
+    None where the count is right. Otherwise dynamic programming over fields
+    and columns: a field fills the next column, for one value edit if it doesn't
+    fit there; a delimiter is inserted, which leaves a column empty; or the
+    delimiter before a field is deleted, which joins it to the one before.
+    """
+    names = FIELDS[rec]
+    wanted, given = len(names), len(fields)
+    if given >= wanted and all(TAG.fullmatch(x) for x in fields[wanted:]):
+        return []
+    far = (1 << 60, ())
+    best = [[far] * (wanted + 1) for _ in range(given + 1)]
+    best[0][0] = (0, ())
+    for i in range(given + 1):
+        for j in range(wanted + 1):
+            cost, trail = best[i][j]
+            if cost >= far[0]:
+                continue
+            options = []
+            if j < wanted:
+                options.append((i, j + 1, cost + DELIMITER, (trail, f"insert delimiter for {names[j]}")))
+            if i < given and j < wanted:
+                options.append((i + 1, j + 1, cost + (0 if fits(rec, names[j], fields[i]) else VALUE), trail))
+            if i < given and j == wanted and TAG.fullmatch(fields[i]):
+                options.append((i + 1, j, cost, trail))
+            if 0 < i < given:
+                options.append((i + 1, j, cost + DELIMITER, (trail, f"delete delimiter before field {i + 1}")))
+            for to_i, to_j, total, path in options:
+                if total < best[to_i][to_j][0]:
+                    best[to_i][to_j] = (total, path)
+    trail, edits = best[given][wanted][1], []
+    while trail:
+        trail, edit = trail
+        edits.append(edit)
+    return edits[::-1]
 
 
 def bad_values(rec: str, fields: list[str]) -> Iterator[str]:
@@ -106,15 +145,9 @@ def bad_values(rec: str, fields: list[str]) -> Iterator[str]:
     names = FIELDS[rec]
     number: dict[str, int] = {}
     for name, value in zip(names, fields, strict=False):
-        if name == "rec":
-            if value != rec:
-                yield name
-        elif name in PATTERNS:
-            if not PATTERNS[name].fullmatch(value):
-                yield name
-        elif not DIGITS.fullmatch(value):
+        if not fits(rec, name, value):
             yield name
-        else:
+        elif name != "rec" and name not in PATTERNS:
             number[name] = int(value)
             low, high = {"qend": ("qstart", "qlen"), "tend": ("tstart", "tlen"), "alnlen": ("nmatch", None)}.get(name, (None, None))
             if (
@@ -140,7 +173,7 @@ def parse_line(rec: str | None, raw: str | None) -> dict | None:
     if rec not in FIELDS:
         return {"reason": reason or "bad_value", "bad_field": "" if reason else "rec", "edits": [*edits, "replace rec"], "cost": cost + VALUE, "fields": fields, "tags": []}
     wanted = len(FIELDS[rec])
-    if moved := align_fields(fields, wanted):
+    if moved := align_fields(rec, fields):
         edits, cost, reason = edits + moved, cost + DELIMITER * len(moved), reason or "column_count"
     if values := list(bad_values(rec, fields)):
         edits, cost = edits + [f"replace {x}" for x in values], cost + VALUE * len(values)
