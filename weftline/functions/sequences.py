@@ -11,9 +11,9 @@ def _col(c: Column | str) -> Column:
 
 
 def overlap_length(cigar: Column | str) -> Column:
-    """Bases that a CIGAR overlap spans: M, =, X, I and D count; null, ``*`` and anything without lengths give 0."""
+    """Bases that a CIGAR overlap spans: M, =, X, I and D count; null, ``*`` and anything without lengths give 0, and so does a length of more than 18 digits."""
     lengths = F.regexp_extract_all(F.coalesce(_col(cigar), F.lit("")), F.lit("([0-9]+)[M=XID]"), F.lit(1))
-    return F.aggregate(lengths, F.lit(0).cast("long"), lambda total, x: total + F.try_to_number(x, F.lit("9" * 18)).cast("long"))
+    return F.aggregate(lengths, F.lit(0).cast("long"), lambda total, x: total + F.coalesce(F.try_to_number(x, F.lit("9" * 18)).cast("long"), F.lit(0)))
 
 
 def entry_side(orient: Column | str) -> Column:

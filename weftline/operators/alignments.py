@@ -208,3 +208,19 @@ def dominant_runs(votes: DataFrame) -> DataFrame:
     runs = numbered.groupBy("qname", "run_no", "tname").agg(F.min("window_no").alias("first_window"), F.max("window_no").alias("last_vote"), F.sum("votes").alias("votes"))
     until = F.lead("first_window").over(Window.partitionBy("qname").orderBy("run_no"))
     return runs.select("qname", "run_no", "tname", "first_window", F.coalesce(until - 1, F.col("last_vote")).alias("last_window"), "votes")
+
+
+def walk_starts_on_targets(positions: DataFrame, lengths: DataFrame, leaving: DataFrame, min_quality: float = 0.3, max_stretch: float = 2.0) -> DataFrame:
+    """Per target the query from which a walk along it begins: the earliest one, ties going to the smaller name.
+
+    ``positions`` are ``query_positions``; queries must be in ``leaving``
+    (``node``), match at ``min_quality`` and span no more than ``max_stretch``
+    of their length (``name``, ``length``). Where none does, the earliest of
+    ``leaving`` stands, and ``strict`` is false.
+    """
+    out = positions.join(leaving.select(F.col("node").alias("qname")).distinct(), "qname", "left_semi")
+    out = out.join(lengths.select(F.col("name").alias("qname"), "length"), "qname", "left")
+    strict = (F.col("quality") >= min_quality) & (F.col("max_end") - F.col("min_start") <= max_stretch * F.coalesce("length", F.lit(0)))
+    place = F.struct((~strict).cast("int").alias("loose"), "min_start", "qname")
+    best = out.groupBy("tname").agg(F.min(place).alias("b"))
+    return best.select("tname", F.col("b.qname").alias("qname"), F.col("b.min_start").alias("min_start"), (F.col("b.loose") == 0).alias("strict"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftline.functions.sequences import organelle_name, percent_identity
 from weftline.operators import alignments as a
 from weftline.operators import chimeras
+from weftline.operators import graph as g
 from weftline.sources.tables import table
 
 
@@ -101,8 +102,14 @@ def w09_breakpoints(spark: SparkSession, d: str) -> DataFrame:
     return chimeras.breakpoints(_paf(spark, d))
 
 
+def h19_walk_starts(spark: SparkSession, d: str) -> DataFrame:
+    lengths = _paf(spark, d).where("qname is not null").groupBy(F.col("qname").alias("name")).agg(F.max("qlen").alias("length"))
+    leaving = g.half_edges(table(spark, d, "links"))
+    return a.walk_starts_on_targets(a.query_positions(_paf(spark, d)), lengths, leaving)
+
+
 QUERIES = {f.__name__: f for f in (
-    w07_chunks, w09_breakpoints, a03_aligned_bp, a04_assign_contigs, j02_on_assigned_target, j04_queries_without_segment, p03_dovetails, sc15_identity, sc14_organelles, a07_query_positions,
+    h19_walk_starts, w07_chunks, w09_breakpoints, a03_aligned_bp, a04_assign_contigs, j02_on_assigned_target, j04_queries_without_segment, p03_dovetails, sc15_identity, sc14_organelles, a07_query_positions,
     a06_weighted_median, a05_place_contigs, a17_status_counts, agp1_scaffolds, a16_walked_bp, j07_overlap_counts, j08_window_votes, w06_dominant_runs, w14_first_per_pair,
 )}
 
@@ -231,5 +238,17 @@ select qname, run_no, tname, first_window, coalesce(lead(first_window) over (par
   select *, cast(sum(new_) over (partition by qname order by run_no rows unbounded preceding) as bigint) as chunk_no from kept
 )
 select qname, chunk_no, min(cs) as q_start, max(ce) as q_end, tname from islands group by qname, chunk_no, tname""",
+    "h19_walk_starts": """
+with pos as (
+  select qname, tname, min(tstart) as s, max(tend) as e, case when max(tend) > min(tstart) then round(coalesce(sum(nmatch), 0) / (max(tend) - min(tstart)), 6) else 1.0 end as quality
+  from paf where qname is not null and tname <> '*' and tstart is not null and tend is not null group by 1, 2
+), lens as (
+  select qname, max(qlen) as length from paf where qname is not null group by 1
+), ends_ as (
+  select from_seg as qname from links where from_seg is not null and to_seg is not null union select to_seg from links where from_seg is not null and to_seg is not null
+), marked as (
+  select p.*, quality >= 0.3 and e - s <= 2 * coalesce(length, 0) as strict from pos p left join lens using (qname) where p.qname in (from ends_)
+)
+select tname, qname, s as min_start, strict from marked qualify row_number() over (partition by tname order by case when strict then 0 else 1 end, s, qname) = 1""",
     "w14_first_per_pair": "select least(qname, tname) as name_a, greatest(qname, tname) as name_b, min(aln_id) as aln_id from paf where qname is not null and tname <> '*' group by 1, 2",
 }
