@@ -4,6 +4,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from weftline.llm import encoding
 from weftline.llm.encoding import TOKENIZERS, _Encoder, encode_corpus, with_token_counts
 from weftline.llm.lexicon import Lexicon, compile_lexicon, packed
 
@@ -43,6 +44,18 @@ def test_encoder_on_odd_texts():
     assert encoder.count(texts).tolist() == [len(x) for x in want(texts)]
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    monkeypatch.setattr(encoding, "LONG", 40)
+    monkeypatch.setattr(encoding, "CHUNK", 9)
+    rng = random.Random(4)
+    texts = ["".join(rng.choice([*PIECES, " a", "\nb", ", 7"]) for _ in range(rng.randrange(120))) for _ in range(600)] + ["x" * 500, " " * 500, ""]
+    encoder = _Encoder(TOKENIZERS, None)
+    got = [ids for chunk in encoding._chunks(texts) for ids in encoder.encode(chunk).to_pylist()]
+    assert got == want(texts)
+    assert [n for chunk in encoding._chunks(texts) for n in encoder.count(chunk).tolist()] == [len(x) for x in got]
+    assert any(len(list(encoding._pieces(t))) > 2 for t in texts)
+
+
 @pytest.mark.parametrize("max_words", [0, 20, 1000])
 def test_corpus(spark, max_words):
     rng = random.Random(3)

@@ -30,6 +30,10 @@ ASCII_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t
 MAX_WORDS, MAX_CHARS, MIN_COUNT = 65_536, 48, 8
 #: Characters that are cut and encoded together, and words whose merges a task remembers.
 CHUNK, REMEMBERED = 1_000_000, 200_000
+#: Texts beyond so many characters are encoded piece by piece.
+LONG = 4_000_000
+#: No word crosses a single blank or line end between two characters that aren't white space.
+SAFE = re.compile(r"(?<=\S)[ \n](?=\S)")
 
 _of_process: dict = {}
 
@@ -55,9 +59,24 @@ def _merger(path: str):
     return _of_process[path]
 
 
+def _pieces(text: str) -> Iterator[str]:
+    """A text in pieces of about CHUNK characters that no word crosses; a longer stretch without white space stays whole."""
+    at = 0
+    while len(text) - at > LONG and (cut := SAFE.search(text, at + CHUNK)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
+
+
 def _chunks(texts: list[str | None]) -> Iterator[list[str]]:
     held, size = [], 0
     for text in texts:
+        if text and len(text) > LONG:  # by itself
+            if held:
+                yield held
+            yield [text]
+            held, size = [], 0
+            continue
         held.append(text or "")
         size += len(held[-1])
         if size >= CHUNK:
@@ -71,8 +90,8 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     split, counts = _splitter(), Counter()
     for pdf in batches:
         for text in pdf["text"]:
-            if text:
-                counts.update(split(text))
+            for piece in _pieces(text or ""):
+                counts.update(split(piece))
         if len(counts) > REMEMBERED:
             yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
             counts = Counter()
@@ -137,6 +156,9 @@ class _Encoder:
         return per_text, codes, ranks, merged, lengths, names
 
     def encode(self, texts: list[str]) -> pa.Array:
+        if len(texts) == 1 and len(pieces := list(_pieces(texts[0]))) > 1:
+            values = pa.concat_arrays([self.encode([p]).values for p in pieces])
+            return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
         per_text, codes, ranks, merged, lengths, _ = self.words(texts)
         # The ids of all distinct words, one behind the other, then those of all words by gathering.
         pool = np.zeros(int(lengths.sum()), np.int32)
@@ -153,6 +175,8 @@ class _Encoder:
         return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values, pa.int32()))
 
     def count(self, texts: list[str]) -> np.ndarray:
+        if len(texts) == 1 and len(pieces := list(_pieces(texts[0]))) > 1:
+            return np.array([sum(int(self.count([p])[0]) for p in pieces)])
         per_text, codes, _, _, lengths, _ = self.words(texts)
         return np.diff(np.concatenate([[0], np.cumsum(lengths[codes])])[np.concatenate([[0], np.cumsum(per_text)])])
 
