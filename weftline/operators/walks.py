@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.skew import hot_keys
-from weftline.session import written
+from weftline.session import discard, written
 
-#: Rounds after which the walkers are written, so that plans stay short.
+#: Tables of visited nodes that are merged into one.
 ROUNDS_PER_TABLE = 6
 SALTS = 16
 
@@ -31,15 +33,17 @@ def walk_starts(edges: DataFrame, segments: DataFrame, groups: DataFrame, per_gr
     return ranked.join(best, ["component", "kind"]).select("component", (F.col("place") - 1).alias("place"), "node", orient.alias("orient"))
 
 
-def candidate_walks(steps: DataFrame, starts: DataFrame, lengths: DataFrame, trials: int, max_steps: int, seed: int) -> DataFrame:
+def candidate_walks(steps: DataFrame, starts: DataFrame, lengths: DataFrame, trials: int, max_steps: int | None, seed: int) -> DataFrame:
     """``component``, ``trial``, ``nodes``, ``orients``, ``length_bp``: seeded walks that enter no node twice.
 
     ``steps`` are oriented (``node``, ``orient``, ``to_node``, ``to_orient``).
     Trials take turns at a component's starts. At each step a walk goes where
     the md5 of seed, trial, place and step is least among nodes not yet
-    visited, and ends at a dead end or after ``max_steps`` steps. All walks of
-    all components take each step together, by one join and one aggregation;
-    the steps from hot states are salted, and partial minima reach the shuffle.
+    visited, and ends at a dead end; ``max_steps`` ends it earlier. All walks of
+    all components take each step together, by one join and one aggregation,
+    until none goes on; the steps from hot states are salted, and partial
+    minima reach the shuffle. What a walk has visited is kept in written tables
+    of a row per node, which are merged now and then.
     """
     sized = steps.join(lengths.select(F.col("name").alias("to_node"), "length"), "to_node", "left").na.fill(0, ["length"])
     state = F.concat("node", "orient")
@@ -49,28 +53,28 @@ def candidate_walks(steps: DataFrame, starts: DataFrame, lengths: DataFrame, tri
 
     counts = starts.groupBy("component").agg(F.count(F.lit(1)).alias("n_starts"))
     turns = counts.select("component", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"), "n_starts").withColumn("place", (F.col("trial") % F.col("n_starts")).cast("int"))
-    begun = turns.join(starts, ["component", "place"]).join(lengths.select(F.col("name").alias("node"), F.col("length").alias("length_bp")), "node", "left").na.fill(0, ["length_bp"])
-    walks = written(begun.select("component", "trial", F.array("node").alias("nodes"), F.array("orient").alias("orients"), "length_bp", F.lit(True).alias("going")))
-    for step in range(1, max_steps + 1):
-        last = F.concat(F.element_at("nodes", -1), F.element_at("orients", -1))
-        ends = walks.where("going").select("component", "trial", "nodes", last.alias("state"))
-        spread = ends.join(hot, F.col("state") == F.col("_hot"), "left").select(
-            "component", "trial", "nodes", "state",
-            F.explode(F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))).alias("salt"))
-        ways = spread.join(salted, ["state", "salt"]).where(~F.array_contains("nodes", F.col("to_node")))
-        draw = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("trial").cast("string"), F.lit(str(step)), "to_node", "to_orient"))
-        taken = ways.groupBy("component", "trial").agg(F.min_by(F.struct("to_node", "to_orient", "length"), F.struct(draw.alias("draw"), "to_node", "to_orient")).alias("next"))
-        on = walks.join(taken, ["component", "trial"], "left")
-        moved = F.col("next").isNotNull()
-        walks = on.select(
-            "component", "trial", F.when(moved, F.array_append("nodes", F.col("next.to_node"))).otherwise(F.col("nodes")).alias("nodes"),
-            F.when(moved, F.array_append("orients", F.col("next.to_orient"))).otherwise(F.col("orients")).alias("orients"),
-            (F.col("length_bp") + F.coalesce("next.length", F.lit(0))).alias("length_bp"), moved.alias("going"))
-        if step % ROUNDS_PER_TABLE == 0 or step == max_steps:
-            walks = written(walks)
-            if walks.where("going").isEmpty():
-                break
-    return walks.drop("going")
+    begun = turns.join(starts, ["component", "place"]).join(lengths.select(F.col("name").alias("node"), "length"), "node", "left").na.fill(0, ["length"])
+    salts = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    ends = written(begun.select("component", "trial", F.lit(0).alias("step"), "node", "orient", "length"))
+    merged, recent, step = None, [ends], 0
+    while (max_steps is None or step < max_steps) and not ends.isEmpty():
+        step += 1
+        spread = ends.withColumn("state", state).join(hot, F.col("state") == F.col("_hot"), "left").select("component", "trial", "state", F.explode(salts).alias("salt"))
+        ways = spread.join(salted, ["state", "salt"]).select("component", "trial", F.col("to_node").alias("node"), F.col("to_orient").alias("orient"), "length")
+        for visited in [merged, *recent] if merged is not None else recent:
+            ways = ways.join(visited.select("component", "trial", "node"), ["component", "trial", "node"], "left_anti")
+        draw = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("trial").cast("string"), F.lit(str(step)), "node", "orient"))
+        taken = ways.groupBy("component", "trial").agg(F.min_by(F.struct("node", "orient", "length"), F.struct(draw.alias("draw"), "node", "orient")).alias("next"))
+        ends = written(taken.select("component", "trial", F.lit(step).alias("step"), "next.*"))
+        recent.append(ends)
+        if len(recent) > ROUNDS_PER_TABLE:
+            old = [merged, *recent[:-1]] if merged is not None else recent[:-1]
+            merged, recent = written(reduce(DataFrame.unionByName, old)), [ends]
+            for done in old:
+                discard(done)
+    every = reduce(DataFrame.unionByName, [merged, *recent] if merged is not None else recent)
+    walks = every.groupBy("component", "trial").agg(F.sort_array(F.collect_list(F.struct("step", "node", "orient"))).alias("_at"), F.sum("length").alias("length_bp"))
+    return written(walks.select("component", "trial", F.col("_at.node").alias("nodes"), F.col("_at.orient").alias("orients"), "length_bp"))
 
 
 def distinct_walks(walks: DataFrame) -> DataFrame:
@@ -79,7 +83,7 @@ def distinct_walks(walks: DataFrame) -> DataFrame:
     return first.select("w.*")
 
 
-def best_pairs(walks: DataFrame, lengths: DataFrame, tolerance: float = 0.5) -> DataFrame:
+def best_pairs(walks: DataFrame, lengths: DataFrame, tolerance: float = 0.1) -> DataFrame:
     """Per component the longest walk and the one that, with it, covers most, then differs most, of least trial.
 
     Only walks whose length is within ``tolerance`` of the leader's compete, or
