@@ -41,3 +41,18 @@ def test_walks_end_at_dead_ends_only(spark, data):
         assert walk == list(zip(nodes, orients, strict=True)) and r.length_bp == sum(lengths[n] for n in nodes)
     assert {len(rows) for rows in per.values()} == {64}
     assert {r.length_bp for r in per["c00"]} == {sum(v for n, v in lengths.items() if n[0] == "c")}
+
+
+def test_every_start_is_listed_and_used(spark, data):
+    d, steps, _ = data
+    names = {n for n, _ in steps}
+    tips = {n: [o for o in "+-" if (n, o) in steps] for n in names}
+    found = {}
+    for r in plans.h02_walk_starts(spark, d).collect():
+        found.setdefault(r.component, []).append((r.place, r.node, r.orient))
+    star = sorted(n for n in names if n[0] in "th" and len(tips[n]) == 1)
+    assert [(n, o) for _, n, o in sorted(found["hub"])] == [(n, tips[n][0]) for n in star] and len(star) >= 9
+    assert all([p for p, *_ in sorted(v)] == list(range(len(v))) for v in found.values())
+    assert {n for v in found.values() for _, n, _ in v} >= {n for n in names if len(tips[n]) == 1}
+    used = {r.nodes.split(",")[0] for r in plans.h04_candidate_walks(spark, d).collect() if r.component == "hub"}
+    assert used == set(star)

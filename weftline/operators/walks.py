@@ -15,22 +15,29 @@ ROUNDS_PER_TABLE = 6
 SALTS = 16
 
 
-def walk_starts(edges: DataFrame, segments: DataFrame, groups: DataFrame, per_group: int) -> DataFrame:
-    """``component``, ``place``, ``node``, ``orient``: the first ``per_group`` starts of each component by name.
+def walk_starts(edges: DataFrame, segments: DataFrame, groups: DataFrame, per_group: int | None = None) -> DataFrame:
+    """``component``, ``place``, ``node``, ``orient``: the starts of each component by name, all or the first ``per_group``.
 
     A start leaves a tip by its only side; isolated segments leave to the
-    right. Components without either start anywhere, on both sides. Ranking
-    keeps no more than ``per_group`` rows of a component before the shuffle.
+    right. Components without either start anywhere, on both sides. Places are
+    counted by ranges of the order rather than by a window over a component.
     """
     sides = edges.groupBy("node").agg(F.min("exit_side").alias("low"), F.max("exit_side").alias("high"))
     named = groups.select(F.col("name").alias("node"), "component").join(sides, "node", "left")
     tip = named.where("low is null or low = high").select("component", "node", F.coalesce("low", F.lit(1)).alias("side"), F.lit(0).alias("kind"))
     inner = named.where("low < high").select("component", "node", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"), F.lit(1).alias("kind"))
-    every = tip.unionByName(inner)
-    ranked = every.withColumn("place", F.row_number().over(Window.partitionBy("component").orderBy("kind", "node", "side"))).where(F.col("place") <= per_group)
-    best = ranked.groupBy("component").agg(F.min("kind").alias("kind"))
+    every = written(tip.unionByName(inner))
+    best = every.groupBy("component").agg(F.min("kind").alias("kind"))
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["component", "node", "side"]
+    ordered = every.join(best, ["component", "kind"]).select(*keys).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    placed = written(ordered.select(*keys, F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_at")))
+    sizes = placed.groupBy("component", "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))  # a component has one row per range
+    order = Window.partitionBy("component").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("component", "_part", (F.coalesce(F.sum("_n").over(order), F.lit(0)) - F.col("_first")).alias("_before"))
     orient = F.when(F.col("side") == 1, "+").otherwise("-")
-    return ranked.join(best, ["component", "kind"]).select("component", (F.col("place") - 1).alias("place"), "node", orient.alias("orient"))
+    out = placed.join(before, ["component", "_part"]).select("component", (F.col("_at") + F.col("_before")).cast("int").alias("place"), "node", orient.alias("orient"))
+    return out if per_group is None else out.where(F.col("place") < per_group)
 
 
 def candidate_walks(steps: DataFrame, starts: DataFrame, lengths: DataFrame, trials: int, max_steps: int | None, seed: int) -> DataFrame:

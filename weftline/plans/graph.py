@@ -126,22 +126,20 @@ def j03_links_between_segments(spark: SparkSession, d: str) -> DataFrame:
 
 #: Walks per component. None is cut; each goes to its dead end.
 TRIALS, SEED = 64, 0xC0FFEE
-#: Starts that a component's walks take turns at.
-STARTS = 4
 
 
 def _walks(spark: SparkSession, d: str) -> DataFrame:
     links, segments = table(spark, d, "links"), table(spark, d, "segments")
     edges = written(g.half_edges(links))
     groups = written(connected_groups(links, "from_seg", "to_seg", segments, "name", "name", "component"))
-    starts = w.walk_starts(edges, segments, groups, STARTS)
+    starts = w.walk_starts(edges, segments, groups)
     return w.candidate_walks(g.outgoing_steps(edges), starts, g.segment_lengths(segments), TRIALS, None, SEED)
 
 
 def h02_walk_starts(spark: SparkSession, d: str) -> DataFrame:
     links, segments = table(spark, d, "links"), table(spark, d, "segments")
     groups = connected_groups(links, "from_seg", "to_seg", segments, "name", "name", "component")
-    return w.walk_starts(g.half_edges(links), segments, groups, STARTS)
+    return w.walk_starts(g.half_edges(links), segments, groups)
 
 
 def h04_candidate_walks(spark: SparkSession, d: str) -> DataFrame:
