@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.components import connected_groups
-from weftline.operators.graph import tips
+from weftline.operators.graph import neighbour_counts, tips
 from weftline.operators.skew import hot_keys
 from weftline.session import discard, written
 
 SALTS = 32
+#: Tips of a component that are swept first; each batch after it is four times as large.
+FIRST_BATCH = 4
 
 
 def distances(edges: DataFrame, lengths: DataFrame, starts: DataFrame) -> DataFrame:
-    """``node``, ``bp``: the least number of bases of a path from any of ``starts`` to each node it reaches, both included.
+    """``source``, ``node``, ``bp``: the least number of bases of a path from each ``source`` of ``starts`` to each node it reaches, both included.
 
-    Links count in either direction, whatever the orientations. All starts
+    Links count in either direction, whatever the orientations. All sources
     spread together: each round the nodes whose distance fell pass it to their
     neighbours, by one join and one aggregation, until none falls. Pairs of hot
     nodes are salted, so a hub's neighbours are spread over tasks.
@@ -27,45 +29,64 @@ def distances(edges: DataFrame, lengths: DataFrame, starts: DataFrame) -> DataFr
     pairs = pairs.join(hot, "node", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("to_node"), F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
     pairs = written(pairs.select("node", "salt", "to_node", "step"))
     own = lengths.select(F.col("name").alias("node"), F.col("length").alias("bp"))
-    seen = written(starts.where("node is not null").select("node").distinct().join(own, "node", "left").na.fill(0, ["bp"]))
+    seen = written(starts.select("source", F.col("source").alias("node")).distinct().join(own, "node", "left").na.fill(0, ["bp"]).select("source", "node", "bp"))
     fell = seen
     every = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
     while not fell.isEmpty():
-        spread = fell.join(hot, "node", "left").select("node", "bp", F.explode(F.when(F.col("hot"), every).otherwise(F.array(F.lit(0).cast("long")))).alias("salt"))
-        offers = spread.join(pairs, ["node", "salt"]).groupBy(F.col("to_node").alias("node")).agg(F.min(F.col("bp") + F.col("step")).alias("offer"))
-        better = offers.join(seen, "node", "left").where("bp is null or offer < bp").select("node", F.col("offer").alias("bp"))
+        spread = fell.join(hot, "node", "left").select("source", "node", "bp", F.explode(F.when(F.col("hot"), every).otherwise(F.array(F.lit(0).cast("long")))).alias("salt"))
+        offers = spread.join(pairs, ["node", "salt"]).groupBy("source", F.col("to_node").alias("node")).agg(F.min(F.col("bp") + F.col("step")).alias("offer"))
+        better = offers.join(seen, ["source", "node"], "left").where("bp is null or offer < bp").select("source", "node", F.col("offer").alias("bp"))
         fell = written(better)
-        updated = written(seen.unionByName(fell).groupBy("node").agg(F.min("bp").alias("bp")))
+        updated = written(seen.unionByName(fell).groupBy("source", "node").agg(F.min("bp").alias("bp")))
         discard(seen)
         seen = updated
     return seen
 
 
 def spine_ends(edges: DataFrame, segments: DataFrame, groups: DataFrame, lengths: DataFrame, tolerance: int = 100) -> DataFrame:
-    """Per component with two tips or more: the ends of a long path between tips, its bases, and the runner-up's.
-
-    Two sweeps: from the tip of least name to the farthest tip, and from there
-    to the farthest again (ties go to the smaller name). That is the farthest
-    pair of a component without cycles, and otherwise a pair whose distance is
-    at least half as large; the search of all pairs would cost a sweep per
-    tip. ``ambiguous`` is a runner-up within ``tolerance``.
+    """Per component with two tips or more: the two tips farthest apart, the bases between them, and the runner-up's of all other pairs.
+
+    Ties go to the smaller names; ``ambiguous`` is a runner-up within
+    ``tolerance``. All pairs of tips are ranked, with cycles too, though not
+    every tip is swept: two tips are never farther apart than by way of a third
+    node whose distances are known, so once that bound shows that no pair of
+    tips not yet swept can come first or second, a component is done. The node
+    of most neighbours is swept first, then ever larger batches of the tips of
+    greatest bound.
     """
-    ends = written(tips(edges, segments).select("node").join(groups.select(F.col("name").alias("node"), "component"), "node"))
-    first = ends.groupBy("component").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n_tips")).where("n_tips > 1")
-
-    def farthest(start: DataFrame) -> DataFrame:
-        reached = distances(edges, lengths, start).join(ends, "node").join(start.select("component", F.col("node").alias("start")), "component").where("node <> start")
-        order = F.struct((-F.col("bp")).alias("less"), "node")
-        return reached.groupBy("component", "start").agg(F.slice(F.sort_array(F.collect_list(order)), 1, 2).alias("best"))
-
-    once = written(farthest(first).select("component", F.element_at("best", 1).getField("node").alias("node")))
-    found = farthest(once)
-    second = F.try_element_at("best", F.lit(2))
-    tip = F.element_at("best", 1).getField("node")
-    best_bp, second_bp = -F.element_at("best", 1).getField("less"), -second.getField("less")
-    return found.join(first.select("component", "n_tips"), "component").select(
-        "component", "n_tips", F.least("start", tip).alias("tip_a"), F.greatest("start", tip).alias("tip_b"), best_bp.alias("spine_bp"), second_bp.alias("second_bp"),
-        F.coalesce((second_bp > 0) & (best_bp - second_bp < tolerance), F.lit(False)).alias("ambiguous"))
+    ends = tips(edges, segments).select("node").join(groups.select(F.col("name").alias("node"), "component"), "node")
+    n_tips = written(ends.groupBy("component").agg(F.count(F.lit(1)).alias("n_tips")).where("n_tips > 1"))
+    ends = written(ends.join(n_tips.select("component"), "component"))
+    own = lengths.select(F.col("name").alias("source"), F.col("length").alias("own"))
+    degrees = neighbour_counts(edges).join(groups.select(F.col("name").alias("node"), "component"), "node").join(n_tips.select("component"), "component", "left_semi")
+    batch = written(degrees.groupBy("component").agg(F.max_by("node", F.struct("n_neighbours", "node")).alias("source")).withColumn("is_end", F.lit(False)))
+    known, size = None, FIRST_BATCH
+    none = lambda kind, c: F.lit(None).cast(kind).alias(c)
+    best = n_tips.limit(0).select("component", none("string", "tip_a"), none("string", "tip_b"), none("long", "spine_bp"), none("long", "second_bp"))
+    while not batch.isEmpty():
+        reached = distances(edges, lengths, batch).join(batch, "source").join(ends, ["component", "node"]).join(own, "source", "left").na.fill(0, ["own"])
+        new = reached.select("component", "source", "node", "bp", "own", "is_end")
+        grown = written(new if known is None else known.unionByName(new))
+        if known is not None:
+            discard(known)
+        known = grown
+        swept = known.where("is_end").select("component", F.col("source").alias("node")).distinct()
+        pairs = known.where("is_end and node <> source").select("component", F.least("source", "node").alias("tip_a"), F.greatest("source", "node").alias("tip_b"), "bp").distinct()
+        first = pairs.groupBy("component").agg(F.min(F.struct((-F.col("bp")).alias("less"), "tip_a", "tip_b")).alias("first"))
+        others = pairs.join(first, "component").where("tip_a <> first.tip_a or tip_b <> first.tip_b").groupBy("component").agg(F.max("bp").alias("second_bp"))
+        best = written(first.join(others, "component", "left").select("component", "first.tip_a", "first.tip_b", (-F.col("first.less")).alias("spine_bp"), "second_bp"))
+        open_ = written(known.join(swept, ["component", "node"], "left_anti"))
+        far = open_.groupBy("component", "source").agg(F.max(F.struct("bp", "node")).alias("far"))
+        next_ = open_.join(far, ["component", "source"]).where("node <> far.node").groupBy("component", "source").agg(F.max("bp").alias("next_bp"))
+        onward = F.when(F.col("node") == F.col("far.node"), F.col("next_bp")).otherwise(F.col("far.bp"))
+        bounds = open_.join(far, ["component", "source"]).join(next_, ["component", "source"]).groupBy("component", "node").agg(F.min(F.col("bp") + onward - F.col("own")).alias("bound"))
+        todo = bounds.join(best, "component", "left").where("second_bp is null or bound > second_bp or bound >= spine_bp")
+        order = Window.partitionBy("component").orderBy(F.col("bound").desc(), "node")
+        batch = written(todo.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= size).select("component", F.col("node").alias("source"), F.lit(True).alias("is_end")))
+        size *= 4
+    return best.join(n_tips, "component").select(
+        "component", "n_tips", "tip_a", "tip_b", "spine_bp", "second_bp",
+        F.coalesce((F.col("second_bp") > 0) & (F.col("spine_bp") - F.col("second_bp") < tolerance), F.lit(False)).alias("ambiguous"))
 
 
 def bubble_regions(links: DataFrame, edges: DataFrame, segments: DataFrame, ends: DataFrame) -> DataFrame:
