@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.encoding import encode_corpus, with_token_counts
 from weftline.llm.mixing import mix, mix_report
-from weftline.llm.subjects import area_shares, subject_areas
+from weftline.llm.subjects import area_shares, subject_areas, thread_root
 from weftline.sources.tables import table
 
 
@@ -24,7 +24,8 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return subject_areas(table(spark, d, "documents"), table(spark, d, "doc_labels"), table(spark, d, "subject_areas"))
+    documents = table(spark, d, "documents").withColumn("thread", thread_root("message_id", "in_reply_to", "ref_ids"))
+    return subject_areas(documents, table(spark, d, "doc_labels"), table(spark, d, "subject_areas"), thread="thread")
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.messages import message_sentences, sentence_words
 from weftline.session import written
 
-#: A sentence that so many of all documents share word for word (four at least) is a set phrase.
+#: A sentence that this share of all threads (four at least) have word for word is a set phrase; copies of a message count once.
 PHRASE_SHARE = 0.007
 #: Terms are words that this share of the documents (three at least) use in other sentences.
 TERM_SHARE = 0.0005
@@ -36,19 +37,30 @@ def _sized(df: DataFrame) -> DataFrame:
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows, ids, langs, words, first = [], [], [], [], []
-        for row, doc_id, text, lang in zip(pdf["row"].tolist(), pdf["doc_id"], pdf["text"], pdf["lang"], strict=True):
+        rows, ids, langs, words, first, digests, threads = [], [], [], [], [], [], []
+        for row, doc_id, text, lang, thread in zip(pdf["row"].tolist(), pdf["doc_id"], pdf["text"], pdf["lang"], pdf["thread"], strict=True):
             seen = set()
-            for sentence in message_sentences(text):
-                key = sentence_words(sentence)
-                if key:
-                    rows.append(row)
-                    ids.append(doc_id)
-                    langs.append(lang)
-                    words.append(key)
-                    first.append(key not in seen)
-                    seen.add(key)
-        yield pd.DataFrame({"row": pd.Series(rows, dtype="int64"), "doc_id": pd.Series(ids, dtype=pdf["doc_id"].dtype), "lang": pd.Series(langs, dtype=object), "words": pd.Series(words, dtype=object), "first": pd.Series(first, dtype=bool)})
+            keys = [key for sentence in message_sentences(text) if (key := sentence_words(sentence))]
+            digest = hashlib.sha256("\n".join(keys).encode()).hexdigest()
+            for key in keys:
+                rows.append(row)
+                ids.append(doc_id)
+                langs.append(lang)
+                words.append(key)
+                first.append(key not in seen)
+                seen.add(key)
+                digests.append(digest)
+                threads.append(thread or digest)
+        yield pd.DataFrame({"row": pd.Series(rows, dtype="int64"), "doc_id": pd.Series(ids, dtype=pdf["doc_id"].dtype), "lang": pd.Series(langs, dtype=object), "words": pd.Series(words, dtype=object), "first": pd.Series(first, dtype=bool), "digest": pd.Series(digests, dtype=object), "thread": pd.Series(threads, dtype=object)})
+
+
+def thread_root(message_id: str, in_reply_to: str, ref_ids: str) -> Column:
+    """The message that a thread began with: the first reference, else what is answered (a message doesn't answer itself), else the message."""
+    none = F.lit(None).cast("string")
+    named = lambda c: F.when(F.trim(c) != "", F.trim(c)).otherwise(none)
+    first = named(F.regexp_extract(F.coalesce(ref_ids, F.lit("")), r"(<[^<>\s]+>)", 1))
+    other = named(F.when(~F.col(in_reply_to).eqNullSafe(F.col(message_id)), F.col(in_reply_to)))
+    return F.coalesce(first, other, named(F.col(message_id)))
 
 
 def trusted_labels(labels: DataFrame) -> DataFrame:
@@ -79,13 +91,15 @@ def _weights(counted: DataFrame, least: float) -> DataFrame:
     return pure.select("term", "area", purity.alias("weight"))
 
 
-def label_sentences(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str | None = "lang") -> DataFrame:
+def label_sentences(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str | None = "lang", thread: str | None = None) -> DataFrame:
     """``row``, ``doc_id``, ``sid``, ``area`` of the sentences that are about an area.
 
     ``row`` tells repeated rows of ``documents`` apart. The graph joins
     sentences through the terms they share; it is kept as the incidence of
     sentences and terms, so no pairs of sentences are formed. Edges are
-    verified: sentences that PHRASE_SHARE of all documents have word for word
+    verified: sentences that PHRASE_SHARE of all threads have word for word
+    (messages that say the same sentences in the same order are of one thread,
+    and so are those of one ``thread``, a column of their root)
     and terms of fewer documents than TERM_SHARE are left out, and a term
     carries an area only as far as its sentences agree on it (PURITY), beyond
     what is usual in its language (ODDS): that in which most documents with it
@@ -97,12 +111,16 @@ def label_sentences(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_
     areas that its sentences get, the seeds too, as annotators make mistakes.
     """
     language = F.lower(F.substring(F.col(lang), 1, 2)) if lang else F.lit("")
-    numbered = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(language, F.lit("")).alias("lang")).where("text is not null").withColumn("row", F.monotonically_increasing_id())
+    root = F.col(thread).cast("string") if thread else F.lit(None).cast("string")
+    numbered = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(language, F.lit("")).alias("lang"), root.alias("thread")).where("text is not null").withColumn("row", F.monotonically_increasing_id())
     kind = documents.schema[doc_id].dataType.simpleString()
-    said = written(numbered.mapInPandas(_extract, f"row long, doc_id {kind}, lang string, words string, first boolean").withColumn("sid", F.monotonically_increasing_id()))
+    said = written(numbered.mapInPandas(_extract, f"row long, doc_id {kind}, lang string, words string, first boolean, digest string, thread string").withColumn("sid", F.monotonically_increasing_id()))
     n_documents = documents.count()
 
-    phrases = written(said.where("first").groupBy("words").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(4, PHRASE_SHARE * n_documents)).select("words"))
+    # Copies have one digest and go to the least of their threads, so neither they nor quotations make a sentence a set phrase.
+    n_threads = said.groupBy("digest").agg(F.min("thread").alias("thread")).agg(F.countDistinct("thread")).first()[0]
+    apart = said.where("first").groupBy("words", "digest").agg(F.min("thread").alias("thread")).groupBy("words").agg(F.countDistinct("thread").alias("n"))
+    phrases = written(apart.where(F.col("n") >= max(4, PHRASE_SHARE * n_threads)).select("words"))
     own = said.join(_sized(phrases), "words", "left_anti")
     split = own.select("row", "doc_id", "lang", "sid", F.array_distinct(F.filter(F.split("words", " "), lambda w: F.length(w) > 2)).alias("terms"))
     counts = split.select("lang", F.explode("terms").alias("term")).groupBy("term", "lang").agg(F.count(F.lit(1)).alias("n"))
@@ -134,7 +152,7 @@ def label_sentences(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_
     raise AssertionError
 
 
-def subject_areas(documents: DataFrame, labels: DataFrame, areas: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str | None = "lang") -> DataFrame:
+def subject_areas(documents: DataFrame, labels: DataFrame, areas: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str | None = "lang", thread: str | None = None) -> DataFrame:
     """``doc_id``, ``area_code`` of each area that at least SENTENCES sentences of a message are about.
 
     What is said and what is quoted counts; null, empty and blank texts have no
@@ -142,7 +160,7 @@ def subject_areas(documents: DataFrame, labels: DataFrame, areas: DataFrame, doc
     are read whole. Of repeated rows of one ``doc_id``, any may bring in an area,
     which is given once. Other columns are ignored, whatever their names.
     """
-    sentences = label_sentences(documents, labels, doc_id, text, lang)
+    sentences = label_sentences(documents, labels, doc_id, text, lang, thread)
     enough = sentences.groupBy("row", "doc_id", "area").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SENTENCES)
     named = areas.select(F.col("area_code").alias("area")).distinct()
     return enough.join(named, "area").select(F.col("doc_id").alias(doc_id), F.col("area").alias("area_code")).distinct()
