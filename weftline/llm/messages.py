@@ -8,7 +8,10 @@ import re
 from collections import Counter
 from html import unescape
 
-_HEADER = re.compile(r"(?:From |[A-Za-z][A-Za-z-]*:)")
+_FIELD_NAME = re.compile(r"([A-Za-z][A-Za-z0-9-]*):")
+#: Fields that tell headers from text that begins with a word and a colon, and those that only mail has.
+_MAIL_FIELDS = frozenset("from to cc bcc subject date sender reply-to message-id in-reply-to references return-path received mime-version delivered-to precedence organization status lines user-agent newsgroups".split())
+_MAIL_PREFIXES = ("x-", "content-", "list-", "resent-", "dkim-", "arc-", "received-", "authentication-")
 _FIELD = re.compile(r"([A-Za-z][A-Za-z-]*):[ \t]*((?:.*)(?:\n[ \t]+.*)*)")
 _DELIMITER = re.compile(r"^--(?=\S*[_=0-9A-Za-z])[^\s-][^\s]{5,}$", re.MULTILINE)
 _PART_HEAD = re.compile(r"\s*(?:Content-[A-Za-z-]+:.*\n(?:[ \t]+.*\n)*)+", re.IGNORECASE)
@@ -45,6 +48,37 @@ def _fields(head: str) -> dict[str, str]:
     return {m.group(1).lower(): m.group(2) for m in _FIELD.finditer(head)}
 
 
+def _is_mail_field(name: str) -> bool:
+    return name.lower() in _MAIL_FIELDS or name.lower().startswith(_MAIL_PREFIXES)
+
+
+def _parted(text: str) -> tuple[str, str]:
+    """Headers and body. Headers end at the first line that is neither a field nor goes on with one; the empty line there may be missing.
+
+    Without a mail field there are no headers; without an empty line, what comes after the last mail field is body.
+    """
+    lines = text.split("\n")
+    at = known = 1 if lines[0].startswith("From ") else 0
+    mail = False
+    found = False
+    while at < len(lines) and lines[at].strip():
+        field = _FIELD_NAME.match(lines[at])
+        if field:
+            mail = _is_mail_field(field.group(1))
+            found = found or mail
+        elif at == 0 or lines[at][0] not in " \t":
+            break
+        at += 1
+        if mail:
+            known = at
+    if not found:
+        return "", text
+    empty = at == len(lines) or not lines[at].strip()
+    if not empty:
+        at = known
+    return "\n".join(lines[:at]), "\n".join(lines[at + empty :])
+
+
 def _decoded(body: str, fields: dict[str, str]) -> str:
     """The text of a part, out of its transfer encoding."""
     encoding = fields.get("content-transfer-encoding", "").strip().lower()
@@ -120,11 +154,8 @@ def message_sentences(text: str | None) -> list[str]:
     if not text or text.isspace():
         return []
     text = _LINE_END.sub("\n", text)
-    fields: dict[str, str] = {}
-    body = text
-    if _HEADER.match(text):
-        head, gap, rest = text.partition("\n\n")
-        fields, body = _fields(head), rest
+    head, body = _parted(text)
+    fields = _fields(head)
     kind = fields.get("content-type", "").lower()
     bodies: dict[str, list[str]] = {"plain": [], "html": []}
 
@@ -133,7 +164,7 @@ def message_sentences(text: str | None) -> list[str]:
         if "attachment" in of.get("content-disposition", "").lower() or (what and not what.startswith(("text/plain", "text/html", "multipart"))):
             return
         found = _decoded(part, of)
-        if what.startswith("text/html") or "<html" in found[:200].lower() or "<p>" in found[:2000]:
+        if what.startswith("text/html") or "<html" in found.lower() or "<p>" in found:
             bodies["html"].append(_plain(found))
         else:
             bodies["plain"].append(_BASE64_LINE.sub("", found))
