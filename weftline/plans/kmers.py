@@ -13,7 +13,8 @@ from weftline.operators.faulty import loaded, parse_lines
 from weftline.operators.skew import lookup
 from weftline.sources.tables import table
 
-K = 7
+#: The reference recommends 29.
+K = 29
 
 
 def k01_segment_records(spark: SparkSession, d: str) -> DataFrame:
