@@ -69,7 +69,7 @@ QUERIES = {f.__name__: f for f in (k02_forward_extensions, k03_crossing_records,
 
 _KMERS = """
 with pos as (
-  select name, upper(substr(seq, i, 7)) as u from (select name, seq, unnest(range(1, length(seq) - 5)) as i from segments where seq <> '*' and length(seq) >= 7)
+  select name, upper(substr(seq, i, {K})) as u from (select name, seq, unnest(range(1, length(seq) - {K} + 2)) as i from segments where seq <> '*' and length(seq) >= {K})
 ), canon as (
   select name, least(u, reverse(translate(u, 'ACGT', 'TGCA'))) as kmer from pos
 ), read_lines as (
@@ -82,7 +82,7 @@ with pos as (
   select f[3] as seq from read_fields where f[1] = 'S' and regexp_full_match(f[2], '[!-)+-<>-~][!-~]*') and regexp_full_match(f[3], '[ACGTNacgtn]+')
     and len(list_filter(f[4:], lambda x: not regexp_full_match(x, '(?s)[A-Za-z][A-Za-z0-9]:[AifZJHB]:.+'))) = 0
 ), read_pos as (
-  select upper(substr(seq, i, 7)) as u from (select seq, unnest(range(1, length(seq) - 5)) as i from read_seqs where length(seq) >= 7)
+  select upper(substr(seq, i, {K})) as u from (select seq, unnest(range(1, length(seq) - {K} + 2)) as i from read_seqs where length(seq) >= {K})
 ), reads as (
   select least(u, reverse(translate(u, 'ACGT', 'TGCA'))) as kmer, count(*) as n from read_pos group by 1
 ), per_kmer as (
@@ -92,7 +92,7 @@ with pos as (
 ), depths as (
   select s.name, cast(round_even(round(coalesce(sum(share), 0), 6), 0) as bigint) as kc, round(coalesce(median(share), 0), 4) as dp, round(coalesce(avg(share), 0), 4) as ad, count(share) as kn
   from (select distinct name from segments where name is not null) s left join given g on g.name = s.name group by 1
-)"""
+)""".replace("{K}", str(K))
 _REVERSED = "reverse(translate({0}, 'ACGT', 'TGCA'))"
 _EXTENSIONS = f"""
 with recursive seqs as (
@@ -104,17 +104,17 @@ with recursive seqs as (
 ), arcs as (
   select node, orient, to_node, to_orient, case when to_orient = '-' then {_REVERSED.format('seq')} else seq end as bases from steps join seqs on name = to_node
 ), grown(node, orient, here, here_orient, ext) as (
-  select node, orient, to_node, to_orient, left(bases, 6) from arcs
+  select node, orient, to_node, to_orient, left(bases, {K - 1}) from arcs
   union
-  select g.node, g.orient, a.to_node, a.to_orient, left(ext || bases, 6) from grown g join arcs a on a.node = g.here and a.orient = g.here_orient where length(ext) < 6
+  select g.node, g.orient, a.to_node, a.to_orient, left(g.ext || a.bases, {K - 1}) from grown g join arcs a on a.node = g.here and a.orient = g.here_orient where length(ext) < {K - 1}
 ), extensions as (
-  select distinct node, orient, ext from grown g where length(ext) = 6 or not exists (select 1 from arcs a where a.node = g.here and a.orient = g.here_orient)
+  select distinct node, orient, ext from grown g where length(ext) = {K - 1} or not exists (select 1 from arcs a where a.node = g.here and a.orient = g.here_orient)
 )"""
 SQL = {
     "k02_forward_extensions": _EXTENSIONS + " select node, orient, ext from extensions",
     "k03_crossing_records": _EXTENSIONS + f"""
-select node, orient, right(case when orient = '-' then {_REVERSED.format('seq')} else seq end, 6) || ext as record from extensions join seqs on name = node
-where length(right(seq, 6)) + length(ext) >= 7""",
+select node, orient, right(case when orient = '-' then {_REVERSED.format('seq')} else seq end, {K - 1}) || ext as record from extensions join seqs on name = node
+where length(right(seq, {K - 1})) + length(ext) >= {K}""",
     "h17_link_sequences": f"""
 with seqs as (
   select name, upper(arg_min(seq, seg_id)) as seq from segments where name is not null and seq <> '*' and seq <> '' group by 1
