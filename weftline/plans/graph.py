@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import sequences as s
+from weftline.operators import extensions as x
 from weftline.operators import graph as g
 from weftline.operators import spines as sp
 from weftline.operators import walks as w
@@ -128,26 +129,72 @@ def j03_links_between_segments(spark: SparkSession, d: str) -> DataFrame:
 TRIALS, SEED = 64, 0xC0FFEE
 
 
-def _walks(spark: SparkSession, d: str) -> DataFrame:
+def _groups(spark: SparkSession, d: str) -> DataFrame:
+    return written(connected_groups(table(spark, d, "links"), "from_seg", "to_seg", table(spark, d, "segments"), "name", "name", "component"))
+
+
+def _walks(spark: SparkSession, d: str, groups: DataFrame) -> DataFrame:
     links, segments = table(spark, d, "links"), table(spark, d, "segments")
-    edges = written(g.half_edges(links))
-    groups = written(connected_groups(links, "from_seg", "to_seg", segments, "name", "name", "component"))
-    starts = w.walk_starts(edges, segments, groups)
-    return w.candidate_walks(g.outgoing_steps(edges), starts, g.segment_lengths(segments), TRIALS, None, SEED)
+    starts = w.walk_starts(g.half_edges(links), segments, groups)
+    return w.candidate_walks(w.walk_steps(links), starts, groups, g.segment_lengths(segments), TRIALS, SEED)
+
+
+def _pairs(spark: SparkSession, d: str, walks: DataFrame) -> DataFrame:
+    return w.best_pairs(walks, g.segment_lengths(table(spark, d, "segments")))
+
+
+def _paired_walks(walks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The steps of both walks of each pair under ``trial`` 1 and 2."""
+    both = written(pairs).select("component", F.explode(F.array(F.struct(F.lit(1).alias("hap"), F.col("first_trial").alias("trial")), F.struct(F.lit(2).alias("hap"), F.coalesce("second_trial", "first_trial").alias("trial")))).alias("x"))
+    return walks.join(both.select("component", "x.*"), ["component", "trial"]).drop("trial").withColumnRenamed("hap", "trial")
 
 
 def h02_walk_starts(spark: SparkSession, d: str) -> DataFrame:
-    links, segments = table(spark, d, "links"), table(spark, d, "segments")
-    groups = connected_groups(links, "from_seg", "to_seg", segments, "name", "name", "component")
-    return w.walk_starts(g.half_edges(links), segments, groups)
+    return w.walk_starts(g.half_edges(table(spark, d, "links")), table(spark, d, "segments"), _groups(spark, d))
 
 
 def h04_candidate_walks(spark: SparkSession, d: str) -> DataFrame:
-    return _walks(spark, d).select("component", "trial", F.array_join("nodes", ",").alias("nodes"), F.array_join("orients", "").alias("orients"), "length_bp")
+    return _walks(spark, d, _groups(spark, d)).select("component", "trial", "step", "node", "orient", "length_bp")
+
+
+def sc18_walk_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Of each walk: its length less overlaps, its steps, distinct nodes and revisits."""
+    walks = _walks(spark, d, _groups(spark, d)).groupBy("component", "trial").agg(F.max_by("length_bp", "step").alias("length_bp"), F.count(F.lit(1)).alias("n_steps"), F.countDistinct("node").alias("n_nodes"))
+    return walks.withColumn("revisits", F.col("n_steps") - F.col("n_nodes"))
 
 
 def h06_best_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return w.best_pairs(w.distinct_walks(_walks(spark, d)), g.segment_lengths(table(spark, d, "segments")))
+    return _pairs(spark, d, _walks(spark, d, _groups(spark, d)))
+
+
+def snk06_walk_summary(spark: SparkSession, d: str) -> DataFrame:
+    groups = _groups(spark, d)
+    return w.walk_summary(_pairs(spark, d, _walks(spark, d, groups)), groups, g.segment_lengths(table(spark, d, "segments")))
+
+
+def snk03_path_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The P lines of the two walks of each component."""
+    walks = _walks(spark, d, _groups(spark, d))
+    lines = w.walk_lines(_paired_walks(walks, _pairs(spark, d, walks)))
+    name = F.concat("component", F.lit("_hap"), F.col("trial").cast("string"))
+    return lines.select("component", F.col("trial").alias("hap"), F.concat_ws("\t", F.lit("P"), name, "names", "overlaps").alias("line"), "walk")
+
+
+def h17_walk_sequences(spark: SparkSession, d: str) -> DataFrame:
+    walks = _walks(spark, d, _groups(spark, d))
+    kept = x.kept_sequences(table(spark, d, "segments"))
+    return w.walk_sequences(_paired_walks(walks, _pairs(spark, d, walks)), kept).withColumnRenamed("trial", "hap")
+
+
+#: Bases above which a path is kept; the segments here are short.
+LONG_PATH = 500
+
+
+def w19_long_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Paths of more than LONG_PATH bases."""
+    walks = _walks(spark, d, _groups(spark, d))
+    whole = _paired_walks(walks, _pairs(spark, d, walks)).groupBy("component", F.col("trial").alias("hap")).agg(F.max_by("length_bp", "step").alias("length_bp"))
+    return whole.where(F.col("length_bp") > LONG_PATH)
 
 
 def snk03_graph_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -198,7 +245,7 @@ def a20_component_tips(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    g07_spine_ends, g16_bubble_regions, g18_layered_edges, a20_component_tips, snk03_graph_lines, snk04_stripped_segments, snk05_fasta, h02_walk_starts, h04_candidate_walks, h06_best_pairs, sc01_overlap_length, sc02_link_sides, sc05_reverse_complement, sc10_canonical_links, sc12_walks, sc13_walk_names, sc16_kept_tags, sc19_neighbours, g12_half_edges,
+    g07_spine_ends, g16_bubble_regions, g18_layered_edges, a20_component_tips, snk03_graph_lines, snk04_stripped_segments, snk05_fasta, h02_walk_starts, h04_candidate_walks, h06_best_pairs, sc18_walk_facts, snk06_walk_summary, snk03_path_lines, h17_walk_sequences, w19_long_paths, sc01_overlap_length, sc02_link_sides, sc05_reverse_complement, sc10_canonical_links, sc12_walks, sc13_walk_names, sc16_kept_tags, sc19_neighbours, g12_half_edges,
     a08_side_degrees, a09_neighbour_counts, g04_tips, a10_bubble_members, a11_visit_budgets, a01_component_summary, g03_routed_links, u03_missing_reverse, u01_names_on_one_side,
     g22_dumped_without_link, g20_steps, g17_layers_from_tips, j03_links_between_segments,
 )}
@@ -247,22 +294,51 @@ _STARTS = _GROUPS + """, half as (
 ), placed as (
   select *, row_number() over (partition by component order by kind, node, side) as place, min(kind) over (partition by component) as first_kind from any_start
 ), starts as (
-  select component, cast(place - 1 as int) as place, node, case when side = 1 then '+' else '-' end as orient from placed where place <= 4 and kind = first_kind
+  select component, cast(place - 1 as int) as place, node, case when side = 1 then '+' else '-' end as orient from placed where kind = first_kind
 )"""
-_WALKS = _STARTS + """, lens as (
+_WALKS = _STARTS + f""", lens as (
   select name, max(coalesce(seg_len, 0)) as length from segments where name is not null group by 1
+), stated as (
+  select link_id, from_seg as node, case when from_orient = '-' then '-' else '+' end as orient, to_seg as to_node, case when to_orient = '-' then '-' else '+' end as to_orient, overlap
+  from links where from_seg is not null and to_seg is not null
+  union all select link_id, to_seg, case when to_orient = '-' then '+' else '-' end, from_seg, case when from_orient = '-' then '+' else '-' end, overlap
+  from links where from_seg is not null and to_seg is not null
 ), steps as (
-  select distinct node, case when exit_side = 1 then '+' else '-' end as orient, to_node, case when to_side = 0 then '+' else '-' end as to_orient, coalesce(length, 0) as length from half left join lens on name = to_node
+  select f.*, cast({_OVERLAP} as bigint) as overlap_bp, coalesce(length, 0) as length
+  from (select * from stated qualify row_number() over (partition by node, orient, to_node, to_orient order by link_id) = 1) f left join lens on name = to_node
 ), turns as (
-  select component, t as trial, t % n as place from (select component, count(*) as n from starts group by 1), (select unnest(range(0, 4)) as t)
-), going(component, trial, step, nodes, orients, length_bp) as (
-  select component, cast(trial as int), 0, [node], [orient], coalesce(length, 0) from turns join starts using (component, place) left join lens on name = node
+  select component, t as trial, t % n as place from (select component, count(*) as n from starts group by 1), (select unnest(range(0, {TRIALS})) as t)
+), going(component, trial, step, node, orient, overlap, length_bp, nodes, again) as (
+  select component, cast(trial as int), 0, node, orient, cast(null as varchar), cast(coalesce(length, 0) as bigint), [node], [0, 1, 3, 8][trial % 4 + 1] from turns join starts using (component, place) left join lens on name = node
   union all
-  (select w.component, w.trial, w.step + 1, list_append(w.nodes, s.to_node), list_append(w.orients, s.to_orient), w.length_bp + s.length
-  from going w join steps s on s.node = w.nodes[-1] and s.orient = w.orients[-1] where w.step < 12 and not list_contains(w.nodes, s.to_node)
-  qualify row_number() over (partition by w.component, w.trial order by md5(concat_ws('|', '12648430', w.trial, w.step + 1, s.to_node, s.to_orient)), s.to_node, s.to_orient) = 1)
+  (select w.component, w.trial, w.step + 1, s.to_node, s.to_orient, s.overlap, cast(greatest(w.length_bp + s.length - s.overlap_bp, 0) as bigint), list_append(w.nodes, s.to_node), w.again - cast(list_contains(w.nodes, s.to_node) as int)
+  from going w join steps s on s.node = w.node and s.orient = w.orient where not list_contains(w.nodes, s.to_node) or w.again > 0
+  qualify row_number() over (partition by w.component, w.trial order by list_contains(w.nodes, s.to_node), md5(concat_ws('|', '{SEED}', w.trial, w.step + 1, s.to_node, s.to_orient)), s.to_node, s.to_orient) = 1)
 ), walks as (
-  select * from going qualify row_number() over (partition by component, trial order by step desc) = 1
+  select *, len(nodes) as n_steps, len(list_distinct(nodes)) as n_nodes from going qualify row_number() over (partition by component, trial order by step desc) = 1
+)"""
+_PAIRS = _WALKS + """, uniq as (
+  select * from walks qualify row_number() over (partition by component, list_sort(nodes) order by trial) = 1
+), lead_ as (
+  select * from uniq qualify row_number() over (partition by component order by length_bp desc, trial) = 1
+), other as (
+  select u.component, u.trial, u.length_bp, u.n_steps - u.n_nodes as revisits, u.length_bp between round(0.9 * l.length_bp) and round(1.1 * l.length_bp) as near, u.nodes as own, l.nodes as lead_nodes from uniq u join lead_ l using (component) where u.trial <> l.trial
+), parts as (
+  select component, trial, length_bp, revisits, near, unnest(list_distinct(list_concat(own, lead_nodes))) as name, own, lead_nodes from other
+), scores as (
+  select component, trial, length_bp, revisits, near, sum(coalesce(length, 0)) as u, sum(case when list_contains(own, name) and list_contains(lead_nodes, name) then 0 else coalesce(length, 0) end) as sd, count(*) as covered
+  from parts left join lens using (name) group by 1, 2, 3, 4, 5
+), best as (
+  select * from scores qualify row_number() over (partition by component order by near desc, u desc, sd desc, revisits, length_bp desc, trial) = 1
+), lead_bp as (
+  select component, sum(coalesce(length, 0)) as bp from (select component, unnest(list_distinct(nodes)) as name from lead_) left join lens using (name) group by 1
+), pairs_ as (
+  select l.component, l.trial as first_trial, l.length_bp as first_bp, b.trial as second_trial, b.length_bp as second_bp, cast(coalesce(b.u, p.bp) as bigint) as union_bp, cast(coalesce(b.sd, 0) as bigint) as symdiff_bp,
+    l.n_steps - l.n_nodes + coalesce(b.revisits, l.n_steps - l.n_nodes) as revisits, coalesce(b.covered, l.n_nodes) as nodes_covered
+  from lead_ l join lead_bp p using (component) left join best b using (component)
+), paired as (
+  select p.component, 1 as hap, step, node, orient, overlap, length_bp from pairs_ p join going g on g.component = p.component and g.trial = p.first_trial
+  union all select p.component, 2, step, node, orient, overlap, length_bp from pairs_ p join going g on g.component = p.component and g.trial = coalesce(p.second_trial, p.first_trial)
 )"""
 _SPINES = _GROUPS + """, names_ as (
   select distinct name as node from segments where name is not null
@@ -369,23 +445,25 @@ union all select 'L', link_id, concat_ws(chr(9), 'L', from_seg, from_orient, to_
 select seg_id, concat_ws(chr(9), 'S', coalesce(name, '*'), '*', case when regexp_matches(coalesce(tags, ''), '(^|\\t)LN:') then tags else concat_ws(chr(9), nullif(tags, ''), 'LN:i:' || coalesce(seg_len, 0)) end) as line from segments""",
     "snk05_fasta": "select '>' || name || ' len=' || length(seq) || chr(10) || regexp_replace(regexp_replace(seq, '(.{60})', '\\1' || chr(10), 'g'), '\\n$', '') as record from segments where name is not null and seq <> '*'",
     "h02_walk_starts": _STARTS + " select component, place, node, orient from starts",
-    "h04_candidate_walks": _WALKS + " select component, trial, array_to_string(nodes, ',') as nodes, array_to_string(orients, '') as orients, cast(length_bp as bigint) as length_bp from walks",
-    "h06_best_pairs": _WALKS + """, uniq as (
-  select * from walks qualify row_number() over (partition by component, list_sort(nodes) order by trial) = 1
-), lead_ as (
-  select * from uniq qualify row_number() over (partition by component order by length_bp desc, trial) = 1
-), other as (
-  select u.component, u.trial, abs(u.length_bp - l.length_bp) <= 0.5 * l.length_bp as near, u.nodes as own, l.nodes as lead_nodes from uniq u join lead_ l using (component) where u.trial <> l.trial
-), parts as (
-  select component, trial, near, unnest(list_distinct(list_concat(own, lead_nodes))) as name, own, lead_nodes from other
-), scores as (
-  select component, trial, near, sum(coalesce(length, 0)) as u, sum(case when list_contains(own, name) and list_contains(lead_nodes, name) then 0 else coalesce(length, 0) end) as sd
-  from parts left join lens using (name) group by 1, 2, 3
-), best as (
-  select * from scores qualify row_number() over (partition by component order by near desc, u desc, sd desc, trial) = 1
+    "h04_candidate_walks": _WALKS + " select component, trial, step, node, orient, length_bp from going",
+    "sc18_walk_facts": _WALKS + " select component, trial, length_bp, n_steps, n_nodes, n_steps - n_nodes as revisits from walks",
+    "h06_best_pairs": _PAIRS + " select * from pairs_",
+    "snk06_walk_summary": _PAIRS + """, sizes as (
+  select g as component, cast(sum(coalesce(length, 0)) as bigint) as size_bp, count(*) as nodes_total from grouped left join lens on name = v group by 1
+)
+select component, size_bp, first_bp as hap1_len, coalesce(second_bp, first_bp) as hap2_len, union_bp, symdiff_bp, revisits, nodes_total, nodes_covered from sizes join pairs_ using (component)""",
+    "snk03_path_lines": _PAIRS + """
+select component, hap, 'P' || chr(9) || component || '_hap' || hap || chr(9) || string_agg(node || orient, ',' order by step) || chr(9)
+    || case when count(*) < 2 then '*' else string_agg(case when step > 0 then coalesce(nullif(overlap, ''), '*') end, ',' order by step) end as line,
+  string_agg(case when orient = '-' then '<' else '>' end || node, '' order by step) as walk
+from paired group by 1, 2""",
+    "h17_walk_sequences": _PAIRS + f""", seqs as (
+  select name, upper(arg_min(seq, seg_id)) as seq from segments where name is not null and seq <> '*' and seq <> '' group by 1
+), cut as (
+  select component, hap, step, case when orient = '-' then reverse(translate(seq, 'ACGT', 'TGCA')) else seq end as s, case when step = 0 then 0 else cast({_OVERLAP} as bigint) end as ov from paired left join seqs on name = node
 )
-select l.component, l.trial as first_trial, cast(l.length_bp as bigint) as first_bp, b.trial as second_trial, cast(coalesce(b.u, l.length_bp) as bigint) as union_bp, cast(coalesce(b.sd, 0) as bigint) as symdiff_bp
-from lead_ l left join best b using (component)""",
+select component, hap, string_agg(case when ov < length(s) then substr(s, ov + 1) else '' end, '' order by step) as sequence from cut group by 1, 2 having count(s) = count(*)""",
+    "w19_long_paths": _PAIRS + " select component, hap, arg_max(length_bp, step) as length_bp from paired group by 1, 2 having arg_max(length_bp, step) > 500",
     "g17_layers_from_tips": _HALF.replace("with half", "with recursive half") + """, pairs as (
   select distinct node, to_node from half where node <> to_node
 ), reach(node, depth) using key (node) as (
