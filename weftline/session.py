@@ -5,20 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for written tables.
 
     A cluster names it in ``spark.checkpoint.dir``; only where neither that
-    setting nor an earlier call fixed a folder (tests) a temporary one is made.
+    setting nor an earlier call fixed a folder, and all work is in one process
+    (tests), a temporary one is made.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="spark-")
     sc.setCheckpointDir(path)
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -35,6 +41,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``written``, and how many rows were written, observed on the way."""
+    seen = Observation()
+    table = written(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return table, seen.get["n"]
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by ``written`` that nothing will read again."""
     spark = df.sparkSession
