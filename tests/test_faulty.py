@@ -3,7 +3,7 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from weftline.operators.faulty import align_fields, faulty_lines, loaded, parse_line, parse_lines, split_line
+from weftline.operators.faulty import DELIMITER, FIELDS, QUOTE, TAG, VALUE, faulty_lines, fits, loaded, parse_line, parse_lines, repair, sound_fields
 
 SOUND = re.compile(r'(?:(?:"(?:[^"]|"")*"|[^"\t]+|)\t)+', re.DOTALL)
 
@@ -11,11 +11,60 @@ SOUND = re.compile(r'(?:(?:"(?:[^"]|"")*"|[^"\t]+|)\t)+', re.DOTALL)
 @settings(max_examples=400, deadline=None)
 @given(st.text(alphabet='"\ta', max_size=14))
 def test_quote_edits_only_where_needed(line):
-    fields, edits = split_line(line)
-    assert (not edits) == bool(SOUND.fullmatch(line + "\t"))
-    if not edits:
+    fields, (_, edits, cost) = sound_fields(line), repair(line, "")
+    assert (fields is not None) == (cost < QUOTE) == bool(SOUND.fullmatch(line + "\t"))
+    if fields is not None:
         cut = [x[1] for x in re.finditer(r'("(?:[^"]|"")*"|[^"\t]*)\t', line + "\t", re.DOTALL)]
-        assert fields == [x[1:-1].replace('""', '"') if x.startswith('"') else x for x in cut]
+        assert not edits and fields == [x[1:-1].replace('""', '"') if x.startswith('"') else x for x in cut]
+
+
+def scanned(text):
+    """Where quoting stands behind a text: at the start of a field, in a bare or quoted one, behind a quote that may close."""
+    state = "start"
+    for c in text:
+        if c == '"':
+            state = {"start": "open", "open": "closed", "closed": "open"}.get(state, "broken")
+        elif c == "\t":
+            state = {"open": "open", "broken": "broken"}.get(state, "start")
+        else:
+            state = {"start": "bare", "bare": "bare", "open": "open"}.get(state, "broken")
+    return state
+
+
+def edited(line, at, before, cost, left):
+    """All texts within ``left`` edits of a line, with what the edits cost."""
+    c = line[at : at + 1]
+    if left:
+        yield from edited(line, at, before + '"', cost + QUOTE, left - 1)
+        state = scanned(before)
+        if state in ("start", "bare", "closed"):
+            mends = (state == "closed" and c not in ("", "\t")) or (state == "bare" and c == '"')
+            yield from edited(line, at, before + "\t", cost + (QUOTE if mends else DELIMITER), left - 1)
+        if c == '"' or (c == "\t" and scanned(before) != "open"):
+            yield from edited(line, at + 1, before, cost + (QUOTE if c == '"' else DELIMITER), left - 1)
+    if c:
+        yield from edited(line, at + 1, before + c, cost, left)
+    else:
+        yield before, cost
+
+
+def misfits(rec, fields):
+    wanted = len(FIELDS[rec])
+    return sum(VALUE * (not fits(rec, n, x)) for n, x in zip(FIELDS[rec], fields, strict=False)) + sum(DELIMITER * (not TAG.fullmatch(x)) for x in fields[wanted:])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.sampled_from("SL"), st.text(alphabet='"\tSa+', max_size=9))
+def test_no_cheaper_repair_exists(rec, line):
+    fields = sound_fields(line)
+    if fields is not None and len(fields) >= len(FIELDS[rec]) and all(map(TAG.fullmatch, fields[len(FIELDS[rec]) :])):
+        return
+    mended, edits, cost = repair(line, rec)
+    # ``cost`` has the price of further fields that are no tags in it already.
+    total = cost + misfits(rec, sound_fields(mended)[: len(FIELDS[rec])])
+    found = [cost + misfits(rec, sound_fields(text)) for text, cost in edited(line, 0, "", 0, 3) if sound_fields(text) is not None and len(sound_fields(text)) >= len(FIELDS[rec])]
+    assert not found or total <= min(found)
+    assert len(edits) > 3 or total >= min(found)
 
 
 def reason(rec, raw):
@@ -50,13 +99,16 @@ def test_reasons_in_order():
     assert reason(None, "S\tx\tACGT") == ("bad_value", "rec")
 
 
-def test_delimiter_edits_say_where():
+def test_edits_say_what_and_where():
+    repaired = lambda rec, line: (lambda p: (p["edits"], p["cost"], p["fields"]))(parse_line(rec, line))
+    assert repaired("L", 'L\ta\t+\tb\t-\t"5M\t') == (["insert quote at 14", "replace overlap"], 1_000_001, ["L", "a", "+", "b", "-", "5M\t"])
+    assert repaired("L", "L\ta+\tb\t-\t5M") == (["insert delimiter at 3"], 1_000, ["L", "a", "+", "b", "-", "5M"])
+    assert repaired("S", 'S\ta\t"ACGT') == (["delete quote at 4"], 1_000_000, ["S", "a", "ACGT"])
+    assert repaired("S", "S\ta\tACGT\tfoo")[1] == 1_000
     paf = "q\t100\t1\t50\t+\tt\t200\t5\t60\t40\t50\t60".split("\t")
-    assert align_fields("PAF", paf) == [] == align_fields("PAF", [*paf, "tp:A:P"])
-    assert align_fields("PAF", paf[:4] + paf[5:]) == ["insert delimiter for strand"]
-    assert align_fields("PAF", [*paf[:1], "x", *paf[1:]]) == ["delete delimiter before field 2"]
-    assert align_fields("PAF", [*paf, "tp:A:P", "x"]) == ["delete delimiter before field 14"]
-    assert len(align_fields("L", ["L"])) == 5
+    assert repaired("PAF", "\t".join(paf[:4] + paf[5:]))[1] == 1_001
+    long = "S\t\"a\t" + "ACGT" * 200_000
+    assert repaired("S", long) == (["delete quote at 2"], 1_000_000, ["S", "a", "ACGT" * 200_000])
 
 
 def test_over_a_table(spark):

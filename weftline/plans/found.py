@@ -18,12 +18,27 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return faulty_lines(parse_lines(table(spark, d, "raw_lines")))
 
 
+def _loaded(spark: SparkSession, d: str, rec: str) -> DataFrame:
+    lines = table(spark, d, "raw_lines").where(F.col("rec") == rec)
+    return loaded(parse_lines(lines), rec).withColumn("tags", F.array_join("tags", "\t")).drop("rec")
+
+
+def p2_loaded_segments(spark: SparkSession, d: str) -> DataFrame:
+    return _loaded(spark, d, "S")
+
+
 def p2_loaded_links(spark: SparkSession, d: str) -> DataFrame:
-    return loaded(parse_lines(table(spark, d, "raw_lines")), "L").drop("tags", "rec")
+    return _loaded(spark, d, "L")
 
 
 def p2_loaded_alignments(spark: SparkSession, d: str) -> DataFrame:
-    return loaded(parse_lines(table(spark, d, "raw_lines")), "PAF").drop("tags")
+    return _loaded(spark, d, "PAF")
+
+
+def p2_repairs(spark: SparkSession, d: str) -> DataFrame:
+    """The least-cost edits of each line that doesn't load."""
+    bad = parse_lines(table(spark, d, "raw_lines")).where("parsed.reason is not null")
+    return bad.select("line_id", "parsed.cost", F.array_join("parsed.edits", "; ").alias("edits"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -73,7 +88,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p2_found, p2_loaded_links, p2_loaded_alignments, p3_found, p3_by_month, p3_alignment_orphans,
+    p1_found, p2_found, p2_loaded_segments, p2_loaded_links, p2_loaded_alignments, p2_repairs, p3_found, p3_by_month, p3_alignment_orphans,
     p4_found, p4_segment_totals, p4_edge_totals, p5_found, p6_found,
 )}
 
@@ -143,12 +158,14 @@ select v as seg_name, g as group_name from grouped""",
 select line_id, case when not sound then 'quoting' when miscounted then 'column_count' else 'bad_value' end as reason,
   case when sound and not miscounted then bad else '' end as bad_field
 from valued where not sound or miscounted or bad is not null""",
+    "p2_loaded_segments": _LINES + """
+select line_id, f[2] as name, f[3] as seq, array_to_string(f[4:], chr(9)) as tags from valued where rec = 'S' and sound and not miscounted and bad is null""",
     "p2_loaded_links": _LINES + """
-select line_id, f[2] as from_seg, f[3] as from_orient, f[4] as to_seg, f[5] as to_orient, f[6] as overlap
+select line_id, f[2] as from_seg, f[3] as from_orient, f[4] as to_seg, f[5] as to_orient, f[6] as overlap, array_to_string(f[7:], chr(9)) as tags
 from valued where rec = 'L' and sound and not miscounted and bad is null""",
     "p2_loaded_alignments": _LINES + """
 select line_id, f[1] as qname, n[2] as qlen, n[3] as qstart, n[4] as qend, f[5] as strand, f[6] as tname, n[7] as tlen, n[8] as tstart, n[9] as tend,
-  n[10] as nmatch, n[11] as alnlen, n[12] as mapq
+  n[10] as nmatch, n[11] as alnlen, n[12] as mapq, array_to_string(f[13:], chr(9)) as tags
 from valued where rec = 'PAF' and sound and not miscounted and bad is null""",
     "p3_found": _ORPHANS + " select link_id, ref_field, reason from orphans",
     "p3_by_month": _ORPHANS + " select ref_field, reason, strftime(loaded_at, '%Y-%m') as month, count(*) as n_ends from orphans group by all",

@@ -26,7 +26,7 @@ def k04_canonical_kmers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _reads(spark: SparkSession, d: str) -> DataFrame:
-    return k.kmer_counts(loaded(parse_lines(table(spark, d, "raw_lines")), "S"), "seq", K)
+    return k.kmer_counts(loaded(parse_lines(table(spark, d, "raw_lines").where("rec = 'S'")), "S"), "seq", K)
 
 
 def j06_kmers_with_reads(spark: SparkSession, d: str) -> DataFrame:
