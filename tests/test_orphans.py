@@ -43,3 +43,15 @@ def test_composite_keys_with_nulls(spark):
     assert ids("partial") == {2, 4, 6}
     assert ids("full") == {2, 3, 4, 5, 6}
     assert orphan_references(refs.limit(0), ["r", "s"], parents, ["a", "b"], "full").count() == 0
+
+
+def test_one_name_of_many_lives(spark):
+    """A name with a life every other hour, and links all through and before and after them."""
+    hour = lambda n: datetime(2024, 1, 1) + timedelta(hours=n)
+    segments = spark.createDataFrame([("hot", hour(2 * i), hour(2 * i + 1), i, "", "") for i in range(600)], SEGMENTS)
+    links = spark.createDataFrame([(i, "hot", "other" if i % 50 == 0 else None, hour(i / 2), "", "") for i in range(-20, 2500)], LINKS)
+    found = {(r.link_id, r.ref_field): r.reason for r in dangling_ends(links, segments).collect()}
+    for i in range(-20, 2500):
+        alive = 0 <= i / 2 < 1199 and (i // 2) % 2 == 0
+        assert found.get((i, "from_seg")) == (None if alive else "late" if i < 0 else "deleted")
+        assert found.get((i, "to_seg")) == ("missing" if i % 50 == 0 else None)
