@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a split that are sorted into one run.
 RUN_ROWS = 200_000
+#: Runs of a group that are merged at a time.
+FAN = 256
 RUN = "run long, grp string, score long, tie string, id long, f1 long, f2 long"
 
 
@@ -74,46 +76,47 @@ def _make_runs(n: int):
     return run
 
 
+def _merged(runs: list[list[tuple]], n: int) -> list[tuple]:
+    """The ``n`` best items of one group from sorted runs of (score downwards, tie, id, print, print); copies count once."""
+    tree, cursor = LoserTree([run[0] for run in runs]), [0] * len(runs)
+    out, seen = [], set()
+    while len(out) < n and (item := tree.heads[winner := tree.losers[0]]) is not None:
+        copy = (item[0], item[1], item[3], item[4])
+        if copy not in seen:
+            seen.add(copy)
+            out.append(item)
+        at = cursor[winner] = cursor[winner] + 1
+        tree.replace(runs[winner][at] if at < len(runs[winner]) else None)
+    return out
+
+
 def _merge_runs(n: int):
+    """Over a bucket's runs in order of group and run: a group's runs are merged as they come, FAN at a time, and what follows its ``n`` best is passed over."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = list(batches)
-        if not held:
-            return
-        pdf = pd.concat(held, ignore_index=True)
-        if not len(pdf):
-            return
-        runs, groups = pdf["run"].to_numpy(), pdf["grp"].tolist()
-        keys = list(zip(groups, (-pdf["score"]).tolist(), pdf["tie"].tolist(), pdf["id"].tolist(), strict=True))
-        prints = list(zip(pdf["f1"].tolist(), pdf["f2"].tolist(), strict=True))
-        size = len(keys)
-        ends = [*(np.flatnonzero(runs[1:] != runs[:-1]) + 1).tolist(), size]
-        starts = [0, *ends[:-1]]
-        # Where the next group of the same run begins, to seek there.
-        following = [size] * size
-        for s, e in zip(starts, ends, strict=True):
-            at = e
-            for i in range(e - 1, s - 1, -1):
-                if i + 1 < e and groups[i + 1] != groups[i]:
-                    at = i + 1
-                following[i] = at
-        cursor = list(starts)
-        tree = LoserTree([keys[s] for s in starts])
-        group, seen, out = None, set(), []
-        while (key := tree.heads[winner := tree.losers[0]]) is not None:
-            i = cursor[winner]
-            if key[0] != group:
-                group, seen = key[0], set()
-            if len(seen) == n:
-                i = following[i]  # this group is full
-            else:
-                copy = (key[1], key[2], prints[i])
-                if copy not in seen:
-                    seen.add(copy)
-                    out.append((group, key[3], len(seen)))
-                i += 1
-            cursor[winner] = i
-            tree.replace(keys[i] if i < ends[winner] else None)
-        yield pd.DataFrame(out, columns=["grp", "id", "place"])
+        group, last, runs = None, None, []
+        for pdf in batches:
+            groups, numbers = pdf["grp"].to_numpy(), pdf["run"].to_numpy()
+            items = list(zip((-pdf["score"]).tolist(), pdf["tie"].tolist(), pdf["id"].tolist(), pdf["f1"].tolist(), pdf["f2"].tolist(), strict=True))
+            cuts = [0, *(np.flatnonzero((groups[1:] != groups[:-1]) | (numbers[1:] != numbers[:-1])) + 1).tolist(), len(items)]
+            out = []
+            for start, end in zip(cuts, cuts[1:], strict=False):
+                if start == end:
+                    continue
+                if groups[start] != group:
+                    if runs:
+                        out += [(group, item[2], place + 1) for place, item in enumerate(_merged(runs, n))]
+                    group, last, runs = groups[start], None, []
+                if numbers[start] == last:  # a run that goes on from the batch before
+                    runs[-1] += items[start:end]
+                else:
+                    if len(runs) == FAN:
+                        runs = [_merged(runs, n)]
+                    runs.append(items[start:end])
+                    last = numbers[start]
+            yield pd.DataFrame(out, columns=["grp", "id", "place"])
+        if runs:
+            yield pd.DataFrame([(group, item[2], place + 1) for place, item in enumerate(_merged(runs, n))], columns=["grp", "id", "place"])
 
     return run
 
@@ -128,10 +131,12 @@ def top_n_per_group(df: DataFrame, group: str, score: str, tie: str, row_id: str
     are one item, for which the smallest id stands; they are recognised by 128
     bits of hash beside group, score and tie.
 
-    Each input split writes runs ordered by group and score, of which no group
+    Each input split makes runs ordered by group and score, of which no group
     keeps more than ``n`` items, so a hot group shrinks before the shuffle.
-    Runs are stored by bucket of the group, and every bucket merges its runs
-    with a loser tree, seeking to the next group after ``n`` outputs.
+    Runs are stored by bucket of the group, within a bucket by group and then
+    run; each bucket is read as a stream, the runs of a group are merged
+    with a loser tree, and after ``n`` outputs the rest of the group is passed over. A
+    task holds a batch and FAN runs of one group, whatever the size of a bucket.
     """
     rest = [F.col(f"`{c}`") for c in sorted(df.columns) if c not in (row_id, *ignored)]
     # A null is skipped by the hash, so which columns are null is hashed as well.
@@ -144,6 +149,6 @@ def top_n_per_group(df: DataFrame, group: str, score: str, tie: str, row_id: str
     kind = dict(rows.dtypes)["grp"]
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = rows.withColumn("grp", F.col("grp").cast("string")).mapInPandas(_make_runs(n), RUN)
-    order = ["run", "grp", F.col("score").desc(), "tie", "id"]
+    order = ["grp", "run", F.col("score").desc(), "tie", "id"]
     merged = runs.repartition(parts, "grp").sortWithinPartitions(*order).mapInPandas(_merge_runs(n), "grp string, id long, place int")
     return merged.select(F.col("grp").cast(kind).alias(group), F.col("id").alias(row_id), "place")
