@@ -1,9 +1,14 @@
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
+import pandas as pd
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from weftline.operators.heavy import heavy_keys, per_key_totals
 from weftline.operators.intervals import DisjointIntervals, periods_and_gaps
-from weftline.operators.topn import LoserTree, top_n_per_group
+from weftline.operators.topn import LoserTree, _merge_runs, top_n_per_group
 
 
 def test_totals_of_uneven_keys(spark):
@@ -83,3 +88,35 @@ def test_periods_across_zones(spark):
     for width in (7, 64, 1 << 18):
         assert {tuple(r) for r in periods_and_gaps(df, ["a", "t"], "s", "e", width).collect()} == want
     assert periods_and_gaps(df.limit(0), ["a", "t"], "s", "e").count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(1, 9)), max_size=30))
+def test_gaps_follow_every_insertion(spans):
+    held, covered = DisjointIntervals(), set()
+    for start, size in spans:
+        held.insert(start, start + size)
+        covered |= set(range(start, start + size))
+        assert {x for s, e in zip(held.starts, held.ends, strict=True) for x in range(s, e)} == covered
+        assert held.gaps == list(zip(held.ends, held.starts[1:], strict=False))
+
+
+def test_a_bucket_is_merged_as_a_stream():
+    """A task's memory doesn't grow with its bucket, nor with the runs of one group."""
+
+    def batches(n_groups, n_runs):
+        rows = ((f"g{g:06}", r, 100 - p, "t", (g * n_runs + r) * 3 + p, r, p) for g in range(n_groups) for r in range(n_runs) for p in range(3))
+        while held := [row for row, _ in zip(rows, range(1_000), strict=False)]:
+            yield pd.DataFrame(held, columns=["grp", "run", "score", "tie", "id", "f1", "f2"])
+
+    def peak(n_groups, n_runs):
+        tracemalloc.start()
+        found = sum(len(out) for out in _merge_runs(3)(batches(n_groups, n_runs)))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert found == 3 * n_groups
+        return most
+
+    small = peak(200, 5)
+    assert peak(4_000, 5) < 2 * small
+    assert peak(1, 20_000) < 3 * small

@@ -15,7 +15,7 @@ STATE = "starts array<long>, ends array<long>"
 
 
 def streamed_periods(stream: DataFrame, keys: list[str], start: str, end: str, zone_width: int = 1 << 22) -> DataFrame:
-    """Update stream of ``keys``, ``zone``, ``starts``, ``ends``: what is covered in each zone that new intervals touched.
+    """Update stream of ``keys``, ``zone``, ``starts``, ``ends``, ``gap_starts``, ``gap_ends``: what is covered in each zone that new intervals touched, and the gaps between.
 
     Intervals may come in any order and repeatedly; nothing is late, as every
     arrival only adds cover. Rows with a null bound or ``start >= end`` don't
@@ -31,15 +31,12 @@ def streamed_periods(stream: DataFrame, keys: list[str], start: str, end: str, z
         *keys, "zone", F.greatest("s", F.col("zone") * zone_width).alias("s"), F.least("e", (F.col("zone") + 1) * zone_width).alias("e"))
 
     def insert(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        intervals = DisjointIntervals()
-        if state.exists:
-            starts, ends = state.get
-            intervals.starts, intervals.ends = list(map(int, starts)), list(map(int, ends))
+        intervals = DisjointIntervals(*(map(int, x) for x in state.get)) if state.exists else DisjointIntervals()
         for pdf in batches:
             for a, b in zip(pdf["s"].tolist(), pdf["e"].tolist(), strict=True):
                 intervals.insert(a, b)
         state.update((intervals.starts, intervals.ends))
-        yield pd.DataFrame([(*key, intervals.starts, intervals.ends)], columns=[*keys, "zone", "starts", "ends"])
+        yield pd.DataFrame([(*key, intervals.starts, intervals.ends, *([g[i] for g in intervals.gaps] for i in (0, 1)))], columns=[*keys, "zone", "starts", "ends", "gap_starts", "gap_ends"])
 
     typed = ", ".join(f"{k} string" for k in keys)
-    return cut.groupBy(*keys, "zone").applyInPandasWithState(insert, f"{typed}, zone long, starts array<long>, ends array<long>", STATE, "update", GroupStateTimeout.NoTimeout)
+    return cut.groupBy(*keys, "zone").applyInPandasWithState(insert, f"{typed}, zone long, starts array<long>, ends array<long>, gap_starts array<long>, gap_ends array<long>", STATE, "update", GroupStateTimeout.NoTimeout)
