@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import defaultdict
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +18,9 @@ from weftline.session import discard, written
 SALTS = 32
 #: Tips of a component that are swept first; each batch after it is four times as large.
 FIRST_BATCH = 4
+#: Components of up to so many pairs of neighbours are searched in one task each, larger ones by joins; the spines are the same.
+SMALL = 20_000
+SPINE = "component string, tip_a string, tip_b string, spine_bp long, second_bp long"
 
 
 def distances(edges: DataFrame, lengths: DataFrame, starts: DataFrame) -> DataFrame:
@@ -43,20 +51,89 @@ def distances(edges: DataFrame, lengths: DataFrame, starts: DataFrame) -> DataFr
     return seen
 
 
-def spine_ends(edges: DataFrame, segments: DataFrame, groups: DataFrame, lengths: DataFrame, tolerance: int = 100) -> DataFrame:
+def _spine(rows: pd.DataFrame) -> pd.DataFrame:
+    """The farthest two tips of one small component and the runner-up: rows without ``to_node`` are its tips, others its neighbour pairs.
+
+    Tips are swept in order of how far they may be from any other tip not yet
+    swept, which the distances from nodes already swept bound.
+    """
+    component, is_tip = rows["component"].iloc[0], rows["to_node"].isna().to_numpy()
+    names = sorted(set(rows["node"]) | set(rows["to_node"].dropna()))
+    number = {x: i for i, x in enumerate(names)}
+    own, near = np.zeros(len(names), np.int64), defaultdict(list)
+    own[[number[x] for x in rows["node"]]] = rows["own"]
+    for a, b, step in zip(rows["node"][~is_tip], rows["to_node"][~is_tip], rows["step"][~is_tip], strict=True):
+        near[number[a]].append((number[b], int(step)))
+    tips = np.array(sorted(number[x] for x in set(rows["node"][is_tip])))
+
+    def sweep(start: int) -> np.ndarray:
+        far = np.iinfo(np.int64).max
+        dist, heap = [far] * len(names), [(int(own[start]), start)]
+        dist[start] = int(own[start])
+        while heap:
+            d, at = heapq.heappop(heap)
+            if d == dist[at]:
+                for to, step in near[at]:
+                    if d + step < dist[to]:
+                        dist[to] = d + step
+                        heapq.heappush(heap, (d + step, to))
+        return np.array(dist)[tips]
+
+    left, bound = np.ones(len(tips), bool), np.full(len(tips), np.iinfo(np.int64).max)
+    best: list[tuple[int, int, int]] = []  # first and second: bases downwards, then names
+    start, at_tip = max(near, key=lambda x: (len(near[x]), x)), -1
+    while True:
+        reached = sweep(start)
+        if at_tip >= 0:
+            left[at_tip] = False
+            for bp in np.unique(reached[left])[::-1][:2].tolist():
+                found = sorted((-bp, *sorted((start, int(t)))) for t in tips[left & (reached == bp)])
+                best = sorted(best + found[:2])[:2]
+        if left.sum() < 2:
+            break
+        there = np.sort(reached[left])
+        onward = np.where(reached == there[-1], there[-2], there[-1])
+        bound = np.minimum(bound, reached + onward - own[start])
+        open_ = left & ((bound > -best[1][0]) | (bound >= -best[0][0])) if len(best) == 2 else left
+        if not open_.any():
+            break
+        at_tip = int(np.flatnonzero(open_)[np.argmax(bound[open_])])
+        start = int(tips[at_tip])
+    (less, a, b), second = best[0], -best[1][0] if len(best) > 1 else None
+    out = pd.DataFrame([(component, names[a], names[b], -less, second)], columns=["component", "tip_a", "tip_b", "spine_bp", "second_bp"])
+    return out.astype({"second_bp": "Int64"})
+
+
+def spine_ends(edges: DataFrame, segments: DataFrame, groups: DataFrame, lengths: DataFrame, tolerance: int = 100, small: int = SMALL) -> DataFrame:
     """Per component with two tips or more: the two tips farthest apart, the bases between them, and the runner-up's of all other pairs.
 
     Ties go to the smaller names; ``ambiguous`` is a runner-up within
     ``tolerance``. All pairs of tips are ranked, with cycles too, though not
     every tip is swept: two tips are never farther apart than by way of a third
     node whose distances are known, so once that bound shows that no pair of
-    tips not yet swept can come first or second, a component is done. The node
-    of most neighbours is swept first, then ever larger batches of the tips of
-    greatest bound.
+    tips not yet swept can come first or second, a component is done.
+    Components of up to ``small`` neighbour pairs, as counted, are searched in
+    tasks of their own, larger ones together, by joins.
     """
     ends = tips(edges, segments).select("node").join(groups.select(F.col("name").alias("node"), "component"), "node")
     n_tips = written(ends.groupBy("component").agg(F.count(F.lit(1)).alias("n_tips")).where("n_tips > 1"))
     ends = written(ends.join(n_tips.select("component"), "component"))
+    sized = lengths.select(F.col("name").alias("node"), F.col("length").alias("own"))
+    pairs = edges.where("node <> to_node").select("node", "to_node").distinct()
+    placed = pairs.join(groups.select(F.col("name").alias("node"), "component"), "node").join(n_tips.select("component"), "component", "left_semi")
+    placed = placed.unionByName(ends, allowMissingColumns=True).join(sized, "node", "left").join(sized.select(F.col("node").alias("to_node"), F.col("own").alias("step")), "to_node", "left").na.fill(0, ["own", "step"])
+    placed = written(placed.select("component", "node", "to_node", "own", "step"))
+    large = written(placed.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > small).select("component"))
+    best = placed.join(large, "component", "left_anti").groupBy("component").applyInPandas(_spine, SPINE)
+    if not large.isEmpty():
+        best = best.unionByName(_spines_by_joins(edges, groups, lengths, ends.join(large, "component", "left_semi"), n_tips.join(large, "component", "left_semi")))
+    return written(best).join(n_tips, "component").select(
+        "component", "n_tips", "tip_a", "tip_b", "spine_bp", "second_bp",
+        F.coalesce((F.col("second_bp") > 0) & (F.col("spine_bp") - F.col("second_bp") < tolerance), F.lit(False)).alias("ambiguous"))
+
+
+def _spines_by_joins(edges: DataFrame, groups: DataFrame, lengths: DataFrame, ends: DataFrame, n_tips: DataFrame) -> DataFrame:
+    """The spines of large components: the node of most neighbours is swept first, then ever larger batches of the tips of greatest bound."""
     own = lengths.select(F.col("name").alias("source"), F.col("length").alias("own"))
     degrees = neighbour_counts(edges).join(groups.select(F.col("name").alias("node"), "component"), "node").join(n_tips.select("component"), "component", "left_semi")
     batch = written(degrees.groupBy("component").agg(F.max_by("node", F.struct("n_neighbours", "node")).alias("source")).withColumn("is_end", F.lit(False)))
@@ -84,9 +161,7 @@ def spine_ends(edges: DataFrame, segments: DataFrame, groups: DataFrame, lengths
         order = Window.partitionBy("component").orderBy(F.col("bound").desc(), "node")
         batch = written(todo.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= size).select("component", F.col("node").alias("source"), F.lit(True).alias("is_end")))
         size *= 4
-    return best.join(n_tips, "component").select(
-        "component", "n_tips", "tip_a", "tip_b", "spine_bp", "second_bp",
-        F.coalesce((F.col("second_bp") > 0) & (F.col("spine_bp") - F.col("second_bp") < tolerance), F.lit(False)).alias("ambiguous"))
+    return best
 
 
 def bubble_regions(links: DataFrame, edges: DataFrame, segments: DataFrame, ends: DataFrame) -> DataFrame:

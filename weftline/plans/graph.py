@@ -217,8 +217,7 @@ def snk05_fasta(spark: SparkSession, d: str) -> DataFrame:
 def _spines(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     links, segments = table(spark, d, "links"), table(spark, d, "segments")
     edges = written(g.half_edges(links))
-    groups = written(connected_groups(links, "from_seg", "to_seg", segments, "name", "name", "component"))
-    return edges, written(sp.spine_ends(edges, segments, groups, g.segment_lengths(segments)))
+    return edges, written(sp.spine_ends(edges, segments, _groups(spark, d), g.segment_lengths(segments)))
 
 
 def g07_spine_ends(spark: SparkSession, d: str) -> DataFrame:
@@ -352,22 +351,16 @@ _SPINES = _GROUPS + """, names_ as (
 ), pairs as (
   select distinct node, to_node, coalesce(length, 0) as step from half left join lens on name = to_node where node <> to_node
 ), first_ as (
-  select component, min(node) as node, count(*) as n_tips from tip group by 1 having count(*) > 1
-), sweep1(node, bp) using key (node) as (
-  select node, coalesce(length, 0) from first_ left join lens on name = node
+  select component, count(*) as n_tips from tip group by 1 having count(*) > 1
+), sweep(source, node, bp) using key (source, node) as (
+  select t.node, t.node, coalesce(length, 0) from tip t join first_ using (component) left join lens on name = t.node
   union
-  select p.to_node, min(x.bp + p.step) from sweep1 x join pairs p on p.node = x.node left join recurring.sweep1 y on y.node = p.to_node where y.bp is null or x.bp + p.step < y.bp group by p.to_node
-), once as (
-  select t.component, t.node from sweep1 join tip t using (node) join first_ f using (component) where t.node <> f.node
-  qualify row_number() over (partition by t.component order by bp desc, t.node) = 1
-), sweep2(node, bp) using key (node) as (
-  select node, coalesce(length, 0) from once left join lens on name = node
-  union
-  select p.to_node, min(x.bp + p.step) from sweep2 x join pairs p on p.node = x.node left join recurring.sweep2 y on y.node = p.to_node where y.bp is null or x.bp + p.step < y.bp group by p.to_node
+  select x.source, p.to_node, min(x.bp + p.step) from sweep x join pairs p on p.node = x.node left join recurring.sweep y on y.source = x.source and y.node = p.to_node
+  where y.bp is null or x.bp + p.step < y.bp group by 1, 2
 ), ranked as (
-  select t.component, o.node as start, t.node, bp, row_number() over (partition by t.component order by bp desc, t.node) as rn from sweep2 join tip t using (node) join once o using (component) where t.node <> o.node
+  select t.component, s.source, s.node, bp, row_number() over (partition by t.component order by bp desc, s.source, s.node) as rn from sweep s join tip t on t.node = s.node where s.source < s.node
 ), spines as (
-  select a.component, f.n_tips, least(a.start, a.node) as tip_a, greatest(a.start, a.node) as tip_b, a.bp as spine_bp, b.bp as second_bp, coalesce(b.bp > 0 and a.bp - b.bp < 100, false) as ambiguous
+  select a.component, f.n_tips, a.source as tip_a, a.node as tip_b, cast(a.bp as bigint) as spine_bp, cast(b.bp as bigint) as second_bp, coalesce(b.bp > 0 and a.bp - b.bp < 100, false) as ambiguous
   from ranked a left join ranked b on b.component = a.component and b.rn = 2 join first_ f on f.component = a.component where a.rn = 1
 )"""
 SQL = {
