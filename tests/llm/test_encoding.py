@@ -41,7 +41,7 @@ def test_encoder_on_odd_texts():
     texts = ["".join(rng.choice(PIECES) for _ in range(rng.randrange(16))) for _ in range(5000)]
     encoder = _Encoder(TOKENIZERS, None)
     assert encoder.encode(texts).to_pylist() == want(texts)
-    assert encoder.count(texts).tolist() == [len(x) for x in want(texts)]
+    assert list(map(encoding._counter(encoding.TOKENIZERS), texts)) == [len(x) for x in want(texts)]
 
 
 def test_long_texts_in_pieces(monkeypatch):
@@ -52,7 +52,7 @@ def test_long_texts_in_pieces(monkeypatch):
     encoder = _Encoder(TOKENIZERS, None)
     got = [ids for chunk in encoding._chunks(texts) for ids in encoder.encode(chunk).to_pylist()]
     assert got == want(texts)
-    assert [n for chunk in encoding._chunks(texts) for n in encoder.count(chunk).tolist()] == [len(x) for x in got]
+    assert list(map(encoding._counter(encoding.TOKENIZERS), texts)) == [len(x) for x in got]
     assert any(len(list(encoding._pieces(t))) > 2 for t in texts)
 
 

@@ -1,22 +1,71 @@
-from itertools import product
+import random
 
+import numpy as np
 import pytest
-
-from weftline.llm.mixing import _Network, mix, mix_report, route
+from pyspark.sql import functions as F
+
+from weftline.llm.encoding import with_token_counts
+from weftline.llm.mixing import _least_cost, mix, mix_report, route
+
+
+def one_by_one(own, tokens, room, quota, repeats):
+    """Most tokens and least cost, by sending one token at a time over a cheapest path."""
+    n, m = room.shape
+    arcs = {}
+    for i in range(n):
+        for k in range(1, repeats[i] + 1):
+            arcs["s", ("c", i), k] = [tokens[i], 2 * k * k]
+        for j in range(m):
+            arcs[("c", i), ("t", j), 0] = [room[i, j], int(j != own[i])]
+    for j in range(m):
+        arcs[("t", j), "e", 0] = [quota[j], 0]
+    back = {key: 0 for key in arcs}
+    sent = cost = 0
+    while True:
+        dist, via, changed = {"s": 0}, {}, True
+        while changed:
+            changed = False
+            for key, (left, price) in arcs.items():
+                a, b, _ = key
+                for x, y, there, p, sign in ((a, b, left, price, 1), (b, a, back[key], -price, -1)):
+                    if there > 0 and x in dist and dist[x] + p < dist.get(y, 1 << 40):
+                        dist[y], via[y], changed = dist[x] + p, (key, sign, x), True
+        if "e" not in dist:
+            return sent, cost
+        sent, cost, at = sent + 1, cost + dist["e"], "e"
+        while at != "s":
+            key, sign, at = via[at]
+            arcs[key][0] -= sign
+            back[key] += sign
 
 
 def test_flow_costs_least():
-    net = _Network()
-    arcs = [(0, 2, 2, 1), (0, 3, 2, 4), (2, 3, 1, 0), (2, 1, 1, 3), (3, 1, 3, 1)]
-    ids = [net.arc(*a) for a in arcs]
-    assert net.push(0, 1) == 4
-    cost = sum(a[3] * net.room[e ^ 1] for a, e in zip(arcs, ids, strict=True))
-    best = min(
-        sum(a[3] * f for a, f in zip(arcs, flow, strict=True))
-        for flow in product(*(range(a[2] + 1) for a in arcs))
-        if flow[0] + flow[1] == 4 and flow[0] == flow[2] + flow[3] and flow[1] + flow[2] == flow[4]
-    )
-    assert cost == best
+    rng = random.Random(4)
+    for _ in range(60):
+        n, m = rng.randrange(1, 6), rng.randrange(1, 4)
+        own = np.array([rng.randrange(m) for _ in range(n)])
+        tokens = np.array([rng.randrange(1, 5) for _ in range(n)])
+        most = np.array([rng.randrange(4) for _ in range(m)])
+        repeats = most[own]
+        room = np.array([[tokens[i] * min(repeats[i], most[j]) if j == own[i] or rng.random() < 0.5 else 0 for j in range(m)] for i in range(n)])
+        quota = np.array([rng.randrange(12) for _ in range(m)])
+        flow = _least_cost(own, tokens, room, quota, repeats)
+        assert (flow >= 0).all() and (flow <= room).all() and (flow.sum(axis=0) <= quota).all() and (flow.sum(axis=1) <= tokens * repeats).all()
+        cost = sum(2 * (x // tokens[i] + 1) ** 2 for i in range(n) for x in range(flow[i].sum())) + sum(flow[i, j] for i in range(n) for j in range(m) if j != own[i])
+        assert (flow.sum(), cost) == one_by_one(own.tolist(), tokens.tolist(), room, quota.tolist(), repeats.tolist())
+
+
+def test_one_mix_whatever_the_layout(spark):
+    """The same rows in other partitions and another order give the same mix, repeated rows too; texts are counted once."""
+    rows = [(i % 350, f"t{i % 330}", ("a", "b", "c")[i % 3], 1) for i in range(900)] + [(5, "t5", "a", 1)] * 4
+    random.Random(2).shuffle(rows)
+    targets = spark.createDataFrame([("a", 0.2, 1), ("b", 0.5, 2), ("c", 0.3, 1)], "source string, weight double, max_repeats int")
+    base = documents(spark, rows)
+    layouts = [base, base.repartition(7, "doc_id"), base.coalesce(1).orderBy(F.col("text").desc()), base.repartitionByRange(3, "source")]
+    mixes = [sorted(map(tuple, mix(with_token_counts(x, out="tokens"), targets, "tokens").collect())) for x in layouts]
+    assert mixes[0] and all(m == mixes[0] for m in mixes)
+    plan = with_token_counts(base, out="tokens").where("tokens > 0").select("tokens")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
 
 
 def test_quotas_fill_or_pass_on():

@@ -174,12 +174,6 @@ class _Encoder:
         ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(per_text)])]
         return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values, pa.int32()))
 
-    def count(self, texts: list[str]) -> np.ndarray:
-        if len(texts) == 1 and len(pieces := list(_pieces(texts[0]))) > 1:
-            return np.array([sum(int(self.count([p])[0]) for p in pieces)])
-        per_text, codes, _, _, lengths, _ = self.words(texts)
-        return np.diff(np.concatenate([[0], np.cumsum(lengths[codes])])[np.concatenate([[0], np.cumsum(per_text)])])
-
 
 def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """All positions of spans, one span behind the other."""
@@ -217,14 +211,37 @@ def encode_corpus(documents: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>")
 
 
+class _Counts(dict):
+    """Tokens of words: of short ones as often as REMEMBERED allows, of others each time."""
+
+    def __init__(self, merge) -> None:
+        self.merge = merge
+
+    def __missing__(self, word: str) -> int:
+        n = len(self.merge(word))
+        if len(word) <= MAX_CHARS:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = n
+        return n
+
+
+def _counter(tokenizers: str):
+    split, counts = _splitter(), _Counts(_merger(tokenizers))
+    return lambda text: sum(sum(map(counts.__getitem__, split(piece))) for piece in _pieces(text)) if text else 0
+
+
 def with_token_counts(documents: DataFrame, text: str = "text", out: str = "n_tokens", tokenizers: str = TOKENIZERS) -> DataFrame:
-    """``documents`` with the number of byte_bpe_50k tokens of ``text``; 0 for empty and null texts."""
+    """``documents`` with the number of byte_bpe_50k tokens of ``text``; 0 for empty and null texts.
+
+    Counting needs no ids and so no lexicon: each task remembers how many tokens a word has.
+    """
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = _Encoder(tokenizers, None)
+        counter = _counter(tokenizers)
         for texts in batches:
-            counted = [encoder.count(chunk) for chunk in _chunks(texts.tolist())]
-            yield pd.Series(np.concatenate(counted) if counted else [], dtype="int64")
+            yield pd.Series(map(counter, texts), dtype="int64")
 
-    return documents.withColumn(out, count(F.col(text)))
+    # Called nondeterministic, as the optimizer would evaluate it again for a filter on the count.
+    return documents.withColumn(out, count.asNondeterministic()(F.col(text)))

@@ -2,61 +2,83 @@
 
 from __future__ import annotations
 
-from collections import deque
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.skew import lookup
 from weftline.session import written
 
-#: Parts of the seeded order of each class in which documents are summed before any of them are put in order.
-BUCKETS = 4096
-#: Classes (own source, other sources with the same text) that the flow is solved over; more are an error.
-MAX_CLASSES = 100_000
-
-
-class _Network:
-    """Min-cost flow by successive shortest paths; costs aren't negative and amounts are integers."""
-
-    def __init__(self) -> None:
-        self.to: list[int] = []
-        self.room: list[int] = []
-        self.cost: list[int] = []
-        self.out: dict[int, list[int]] = {}
-
-    def arc(self, a: int, b: int, room: int, cost: int) -> int:
-        for x, y, r, c in ((a, b, room, cost), (b, a, 0, -cost)):
-            self.out.setdefault(x, []).append(len(self.to))
-            self.to.append(y)
-            self.room.append(r)
-            self.cost.append(c)
-        return len(self.to) - 2
-
-    def push(self, source: int, sink: int) -> int:
-        total = 0
-        while True:
-            dist, via, queue, waiting = {source: 0}, {}, deque([source]), {source}
-            while queue:
-                a = queue.popleft()
-                waiting.discard(a)
-                for e in self.out.get(a, ()):
-                    if self.room[e] > 0 and dist[a] + self.cost[e] < dist.get(self.to[e], 1 << 62):
-                        dist[self.to[e]], via[self.to[e]] = dist[a] + self.cost[e], e
-                        if self.to[e] not in waiting:
-                            waiting.add(self.to[e])
-                            queue.append(self.to[e])
-            if sink not in dist:
-                return total
-            path, at = [], sink
-            while at != source:
-                path.append(via[at])
-                at = self.to[via[at] ^ 1]
-            amount = min(self.room[e] for e in path)
-            for e in path:
-                self.room[e] -= amount
-                self.room[e ^ 1] += amount
-            total += amount
+#: Membership patterns (own source, other sources with the same text) times sources that the flow is solved over, a
+#: table of so many cells on the driver; more are an error. At this size it took 4 s with 20 sources and 48 s with 200.
+MAX_CELLS = 2_000_000
+FAR = 1 << 60
+
+
+def _first_of(amounts: np.ndarray, total: int) -> np.ndarray:
+    """Of each amount, what the first ``total`` in all take."""
+    upto = np.cumsum(amounts)
+    return np.clip(total - (upto - amounts), 0, amounts)
+
+
+def _least_cost(own: np.ndarray, tokens: np.ndarray, room: np.ndarray, quota: np.ndarray, repeats: np.ndarray) -> np.ndarray:
+    """Tokens of each class (rows) that go to each source: as many as fit, at least cost.
+
+    ``own`` is the column of a class's own source, ``room`` what may go from a
+    class to a source, ``quota`` what a source takes, ``repeats`` how often a
+    class may appear. The k-th appearance costs 2 k squared, and another source
+    than the own one more. Successive shortest paths, with all classes that
+    would be on equal paths at once: a path enters one source and may lead on
+    to others by moving what classes have there, so it is found among sources
+    alone, and how many paths there are depends on sources and repeats.
+    """
+    n, m = room.shape
+    rows = np.arange(n)
+    other = np.ones((n, m), np.int64)
+    other[rows, own] = 0
+    is_own = other == 0
+    flow, quota = np.zeros((n, m), np.int64), quota.copy()
+    used = np.zeros(n, np.int64)
+    while quota.any():
+        level = used // np.maximum(tokens, 1)
+        entry = np.where((level < repeats) & (tokens > 0), 2 * (level + 1) ** 2, FAR)
+        left = np.where(entry < FAR, tokens - used % np.maximum(tokens, 1), 0)
+        free, held = flow < room, flow > 0
+        begin = np.where(free & (entry < FAR)[:, None], entry[:, None] + other, FAR)
+        dist, came = begin.min(axis=0, initial=FAR), np.full(m, -1)
+        # What it costs to move a token of some class from one source to another: -1 to its own, 1 away from it, else 0.
+        can = lambda a, b: (a.T.astype(np.float32) @ b.astype(np.float32)) > 0
+        move = np.where(can(held & ~is_own, free & is_own), -1, np.where(can(held & ~is_own, free & ~is_own), 0, np.where(can(held & is_own, free & ~is_own), 1, FAR)))
+        for _ in range(m):
+            through = np.where(dist[:, None] < FAR, dist[:, None] + move, FAR)
+            nearest = through.argmin(axis=0)
+            better = through[nearest, np.arange(m)] < dist
+            if not better.any():
+                break
+            dist = np.where(better, through[nearest, np.arange(m)], dist)
+            came = np.where(better, nearest, came)
+        ends = np.flatnonzero((quota > 0) & (dist < FAR))
+        if not len(ends):
+            break
+        path = [int(ends[np.argmin(dist[ends])])]
+        while came[path[-1]] >= 0:
+            path.append(int(came[path[-1]]))
+        first = path[-1]
+        enters = np.where(begin[:, first] == begin[:, first].min(), np.minimum(left, room[:, first] - flow[:, first]), 0)
+        moves = []
+        for to, start in zip(path, path[1:], strict=False):
+            fit = (other[:, to] - other[:, start] == move[start, to]) & held[:, start] & free[:, to]
+            moves.append((start, to, np.where(fit, np.minimum(flow[:, start], room[:, to] - flow[:, to]), 0)))
+        amount = int(min([quota[path[0]], enters.sum(), *(x.sum() for _, _, x in moves)]))
+        for start, to, most in moves:
+            part = _first_of(most, amount)
+            flow[:, start] -= part
+            flow[:, to] += part
+        part = _first_of(enters, amount)
+        flow[:, first] += part
+        used += part
+        quota[path[0]] -= amount
+    return flow
 
 
 def route(classes: list[tuple[int, str, list[str], int]], targets: dict[str, tuple[float, int]], size: int) -> tuple[dict[tuple[int, str], int], dict[str, int]]:
@@ -69,38 +91,33 @@ def route(classes: list[tuple[int, str, list[str], int]], targets: dict[str, tup
     stands for another source than its own. A source that can't fill its quota
     keeps what it can; the rest goes to the others by their weights.
     """
-    weight = {s: max(0.0, w) for s, (w, _) in targets.items()}
-    open_sources, quota = {s for s in targets if weight[s] > 0}, dict.fromkeys(targets, 0)
-    fixed: dict[str, int] = {}
-    flow: dict[tuple[int, str], int] = {}
+    names = sorted(targets)
+    at = {s: i for i, s in enumerate(names)}
+    if len(classes) * len(names) > MAX_CELLS:
+        raise ValueError(f"{len(classes)} membership patterns of {len(names)} sources: more than {MAX_CELLS} cells")
+    own = np.array([at[c[1]] for c in classes], np.int64)
+    tokens = np.array([c[3] for c in classes], np.int64)
+    most = np.array([targets[s][1] for s in names], np.int64)
+    repeats = most[own] if len(classes) else own
+    room = np.zeros((len(classes), len(names)), np.int64)
+    for i, (_, source, members, size_) in enumerate(classes):
+        for s in {source, *members} & at.keys():
+            room[i, at[s]] = size_ * min(repeats[i], most[at[s]])
+    weight = {s: max(0.0, targets[s][0]) for s in names}
+    open_sources, fixed = {s for s in names if weight[s] > 0}, {}
     while True:
-        left, whole = size - sum(fixed.values()), sum(weight[s] for s in open_sources)
-        quota |= fixed
+        left, whole = size - sum(fixed.values()), sum(weight[s] for s in sorted(open_sources))
         exact = {s: left * weight[s] / whole for s in sorted(open_sources)} if whole > 0 else {}
-        quota |= {s: int(x) for s, x in exact.items()}
+        quota = dict.fromkeys(names, 0) | fixed | {s: int(x) for s, x in exact.items()}
         for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[: max(0, left - sum(quota[s] for s in exact))]:
             quota[s] += 1
-        net, names = _Network(), sorted(targets)
-        node = {s: 2 + i for i, s in enumerate(names)}
-        sinks = {s: net.arc(node[s], 1, quota[s], 0) for s in names}
-        arcs = []
-        for number, own, members, tokens in classes:
-            at = 2 + len(names) + number
-            for k in range(1, targets[own][1] + 1):
-                net.arc(0, at, tokens, 2 * k * k)
-            arcs += [(number, s, net.arc(at, node[s], tokens * min(targets[own][1], targets[s][1]), int(s != own))) for s in sorted({own, *members}) if s in node]
-        net.push(0, 1)
-        flow = {(number, s): net.room[e ^ 1] for number, s, e in arcs if net.room[e ^ 1]}
-        short = {s: net.room[e ^ 1] for s, e in sinks.items() if s in open_sources and net.room[e] > 0}
+        flow = _least_cost(own, tokens, room, np.array([quota[s] for s in names], np.int64), repeats)
+        got = dict(zip(names, flow.sum(axis=0).tolist(), strict=True))
+        short = {s: got[s] for s in open_sources if got[s] < quota[s]}
         if not short:
-            return flow, quota
+            return {(classes[i][0], names[j]): int(flow[i, j]) for i, j in zip(*np.nonzero(flow), strict=True)}, quota
         fixed |= short
         open_sources -= set(short)
-        quota = dict.fromkeys(targets, 0)
-
-
-def _order(seed: int, doc_id: Column) -> Column:
-    return F.xxhash64(F.lit(seed), doc_id)
 
 
 def mix(documents: DataFrame, targets: DataFrame, size: Column | str, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 20) -> DataFrame:
@@ -119,31 +136,34 @@ def mix(documents: DataFrame, targets: DataFrame, size: Column | str, doc_id: st
 
     Documents are aggregated by membership pattern (own source and the sources
     with the same text, found by a 256-bit digest). The flow is solved over
-    those classes, at most ``MAX_CLASSES`` rows, and its amounts are met by
-    documents in a seeded order: tokens are summed by class and slice of that
+    those classes, at most ``MAX_CELLS`` cells, and its amounts are met by
+    documents in an order of the seed, ``doc_id`` and the digest, whatever the
+    layout of the table; only rows that are equal in all three and the source
+    are numbered. Tokens are summed by class and slice of that
     order, and only within a slice documents are put in line. A class's amount
     is met to within one document.
     """
     spark = documents.sparkSession
-    wanted = {r.source: (float(r.weight or 0), max(0, r.max_repeats or 0)) for r in targets.select("source", "weight", "max_repeats").where("source is not null").limit(MAX_CLASSES + 1).collect()}
-    if len(wanted) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} sources")
+    wanted = {r.source: (float(r.weight or 0), max(0, r.max_repeats or 0)) for r in targets.select("source", "weight", "max_repeats").where("source is not null").limit(MAX_CELLS + 1).collect()}
+    if len(wanted) > MAX_CELLS:
+        raise ValueError(f"more than {MAX_CELLS} sources")
     size = F.col(size) if isinstance(size, str) else size
     own = documents.join(F.broadcast(spark.createDataFrame([(s,) for s in wanted], "_own string")), F.col(source) == F.col("_own"), "left_semi")
-    rows = own.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("own_source"), size.cast("long").alias("n_tokens"), F.sha2(F.col(text), 256).alias("digest")).where("n_tokens > 0")
-    sized = written(rows.withColumn("row", F.monotonically_increasing_id()))
+    # Written before anything is asked of the sizes, so that they are taken once.
+    rows = written(own.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("own_source"), size.cast("long").alias("n_tokens"), F.sha2(F.col(text), 256).alias("digest")))
+    equal = rows.where("n_tokens > 0").groupBy("doc_id", "own_source", "n_tokens", "digest").agg(F.count(F.lit(1)).alias("n"))
+    sized = written(equal.select("doc_id", "own_source", "n_tokens", "digest", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("row")))
 
     # Only texts that stand in more than one archive need a look-up; each archive counts once.
     shared = (
         sized.groupBy("digest").agg(F.min("own_source").alias("a"), F.max("own_source").alias("b"), F.collect_set("own_source").alias("members"))
         .where("a <> b").select("digest", F.array_sort("members").alias("members"))
     )
-    several = lookup(sized, "digest", shared, "members", F.col("row")).withColumn("members", F.coalesce("members", F.array("own_source"))).drop("digest")
-    several = written(several.withColumn("place", _order(seed, F.struct("doc_id", "row"))))
+    several = lookup(sized, "digest", shared, "members", F.xxhash64("doc_id", "row")).withColumn("members", F.coalesce("members", F.array("own_source")))
+    several = several.withColumn("place", F.xxhash64(F.lit(seed), "doc_id", "digest", "own_source", "row"))
+    several = written(several)
     summed = several.groupBy("own_source", "members").agg(F.sum("n_tokens").alias("tokens"))
-    found = summed.orderBy("own_source", "members").limit(MAX_CLASSES + 1).collect()
-    if len(found) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} membership patterns")
+    found = summed.orderBy("own_source", "members").limit(MAX_CELLS + 1).collect()
     classes = [(i, r.own_source, list(r.members), int(r.tokens)) for i, r in enumerate(found)]
     flow, _ = route(classes, wanted, sum(c[3] for c in classes))
 
@@ -160,14 +180,14 @@ def mix(documents: DataFrame, targets: DataFrame, size: Column | str, doc_id: st
     slices = drawn.groupBy("class", "slice").agg(F.sum("n_tokens").alias("in_slice"))
     before = F.sum("in_slice").over(Window.partitionBy("class").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
     slices = slices.select("class", "slice", F.coalesce(before, F.lit(0)).alias("before_slice"))
-    within = F.sum("n_tokens").over(Window.partitionBy("class", "slice").orderBy("place", "doc_id", "row").rowsBetween(Window.unboundedPreceding, -1))
+    within = F.sum("n_tokens").over(Window.partitionBy("class", "slice").orderBy("place", "doc_id", "digest", "own_source", "row").rowsBetween(Window.unboundedPreceding, -1))
     lined = drawn.withColumn("within", F.coalesce(within, F.lit(0))).join(slices, ["class", "slice"]).withColumn("start", F.col("before_slice") + F.col("within"))
     # The copies of a class lie end to end; a copy that begins before the amount is reached is in the mix.
     copies = F.ceil((F.col("amount") - F.col("start")) / F.col("tokens")).cast("int")
     taken = lined.where("start < amount").withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))).withColumn("at", F.col("start") + F.col("copy") * F.col("tokens"))
     spans_df = F.broadcast(spark.createDataFrame(spans, "class int, for_source string, span_start long, span_end long"))
     placed = taken.join(spans_df, "class").where("at >= span_start and at < span_end")
-    return placed.groupBy("row", "doc_id", "own_source", "for_source", "n_tokens").agg(F.count(F.lit(1)).cast("int").alias("copies")).drop("row")
+    return placed.groupBy("row", "doc_id", "digest", "own_source", "for_source", "n_tokens").agg(F.count(F.lit(1)).cast("int").alias("copies")).drop("row", "digest")
 
 
 def mix_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
