@@ -38,21 +38,36 @@ def test_walks_are_valid_and_repeatable(spark):
     lengths = graph.segment_lengths(segments)
     starts = walks.walk_starts(edges, segments, groups, 3)
     assert {tuple(r) for r in starts.collect()} == {("a", 0, "a", "+"), ("a", 1, "e", "-"), ("lone", 0, "lone", "+")}
-    steps = graph.outgoing_steps(edges)
-    found = walks.candidate_walks(steps, starts, lengths, 6, 5, 7).collect()
-    real = {tuple(r) for r in steps.collect()}
-    bp = {r.name: r.length for r in lengths.collect()}
-    assert len(found) == 12
-    for r in found:
-        states = list(zip(r.nodes, r.orients, strict=True))
-        assert len(set(r.nodes)) == len(r.nodes) and r.length_bp == sum(bp[n] for n in r.nodes)
+    steps = walks.walk_steps(links)
+    made = walks.candidate_walks(steps, starts, groups, lengths, 6, 7)
+    found = made.collect()
+    real = {tuple(r)[:4] for r in steps.collect()}
+    per = {}
+    for r in sorted(found, key=lambda r: r.step):
+        per.setdefault((r.component, r.trial), []).append(r)
+    assert len(per) == 12
+    for (component, _), rows in per.items():
+        states = [(r.node, r.orient) for r in rows]
+        assert len({r.node for r in rows}) == len(rows) == (1 if component == "lone" else 4)
         assert all((*x, *y) in real for x, y in zip(states, states[1:], strict=False))
-        assert len(r.nodes) == (1 if r.component == "lone" else 4)
-    again = walks.candidate_walks(steps.repartition(3), starts, lengths, 6, 5, 7).collect()
-    assert sorted(map(tuple, found)) == sorted(map(tuple, again))
-    pairs = {r.component: r for r in walks.best_pairs(walks.distinct_walks(walks.candidate_walks(steps, starts, lengths, 12, 5, 7)), lengths).collect()}
-    assert (pairs["a"].first_bp, pairs["a"].union_bp, pairs["a"].symdiff_bp) == (21, 24, 7)
-    assert pairs["lone"].second_trial is None
+        assert rows[-1].length_bp == (0 if component == "lone" else 5 + 7 + 5 + (3 if "b" in [r.node for r in rows] else 4) - 6)
+    again = walks.candidate_walks(steps.repartition(3), starts, groups, lengths, 6, 7).collect()
+    assert sorted(map(tuple, found), key=str) == sorted(map(tuple, again), key=str)
+    more = walks.candidate_walks(steps, starts, groups, lengths, 12, 7)
+    pairs = walks.best_pairs(more, lengths)
+    got = {r.component: r for r in pairs.collect()}
+    assert (got["a"].first_bp, got["a"].second_bp, got["a"].union_bp, got["a"].symdiff_bp, got["a"].revisits, got["a"].nodes_covered) == (15, 14, 24, 7, 0, 5)
+    assert got["lone"].second_trial is None
+    summary = {r.component: tuple(r)[1:] for r in walks.walk_summary(pairs, groups, lengths).collect()}
+    assert summary == {"a": (24, 15, 14, 24, 7, 0, 5, 5), "lone": (0, 0, 0, 0, 0, 0, 1, 1)}
+    lines = {tuple(r)[2:] for r in walks.walk_lines(made).where("component = 'a'").collect()}
+    assert lines <= {("a+,b+,d+,e+", ">a>b>d>e", "2M,2M,2M"), ("a+,c+,d+,e+", ">a>c>d>e", "2M,2M,2M"), ("e-,d-,b-,a-", "<e<d<b<a", "2M,2M,2M"), ("e-,d-,c-,a-", "<e<d<c<a", "2M,2M,2M")}
+    assert [tuple(r)[2:] for r in walks.walk_lines(made).where("component = 'lone' and trial = 0").collect()] == [("lone+", ">lone", "*")]
+    kept = spark.createDataFrame([("a", "ACGTA"), ("b", "TTT"), ("c", "GGGG"), ("d", "CACACAC"), ("e", "CCACC")], "name string, seq string")
+    sequences = {r.sequence for r in walks.walk_sequences(made, kept).collect()}
+    assert sequences and sequences <= {"ACGTATCACACACC", "ACGTAGGCACACACC", "GGTGGGTGTGACGT", "GGTGGGTGTGCCCGT"}
+    assert walks.walk_sequences(made, extensions.kept_sequences(segments)).count() == 0  # d keeps no sequence
+    assert walks.candidate_walks(steps.limit(0), starts.limit(0), groups, lengths, 6, 7).count() == 0
 
 
 def test_sequences_over_links(spark):
@@ -65,8 +80,12 @@ def test_sequences_over_links(spark):
 
 
 def test_islands_and_breakpoints(spark):
-    assert absorb_islands([(0, 30, "x"), (30, 40, "y"), (40, 80, "x"), (80, 90, "z")]) == [(0, 80, "x"), (80, 90, "z")]
-    assert absorb_islands([(0, 10, "x"), (10, 40, "y"), (40, 50, "x")]) == [(0, 10, "x"), (10, 40, "y"), (40, 50, "x")]
+    absorbed = lambda rows: [tuple(r)[1:] for r in absorb_islands(spark.createDataFrame([("q", *r) for r in rows], "qname string, q_start long, q_end long, tname string")).orderBy("q_start").collect()]
+    assert absorbed([(0, 30, "x"), (30, 40, "y"), (40, 80, "x"), (80, 90, "z")]) == [(0, 80, "x"), (80, 90, "z")]
+    assert absorbed([(0, 10, "x"), (10, 40, "y"), (40, 50, "x")]) == [(0, 10, "x"), (10, 40, "y"), (40, 50, "x")]
+    # An island that only its neighbours' growth makes small enough.
+    assert absorbed([(0, 30, "x"), (30, 40, "y"), (40, 60, "x"), (60, 85, "y"), (85, 125, "x")]) == [(0, 125, "x")]
+    assert absorbed([]) == []
     rows = [("q", 0, 9_000, 20_000, "x"), ("q", 11_000, 20_000, 20_000, "y"), ("p", 0, 20_000, 20_000, "x"), (None, 0, 9, 20, "x"), ("r", 5, 5, 9, "x")]
     paf = spark.createDataFrame(rows, "qname string, qstart long, qend long, qlen long, tname string")
     assert {tuple(r) for r in breakpoints(paf, 5_000, 5_000).collect()} == {("q", 0, 0, 10_000, "x"), ("q", 1, 10_000, 20_000, "y")}

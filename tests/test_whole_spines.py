@@ -44,7 +44,9 @@ def test_all_pairs_of_tips_are_ranked(spark):
     edges = graph.half_edges(links)
     groups = connected_groups(links, "from_seg", "to_seg", segments, "name", "name", "component")
     tips = [r.node for r in graph.tips(edges, segments).collect()]
-    got = {r.component[0]: r for r in spines.spine_ends(edges, segments, groups, graph.segment_lengths(segments)).collect()}
+    lengths_ = graph.segment_lengths(segments)
+    got = {r.component[0]: r for r in spines.spine_ends(edges, segments, groups, lengths_).collect()}
+    assert {r.component[0]: r for r in spines.spine_ends(edges, segments, groups, lengths_, small=0).collect()} == got
     assert set(got) == set("abcdef")
     for c, r in got.items():
         order = ranked([(x[0], x[2]) for x in rows if x[0][0] == c], lengths, [t for t in tips if t[0] == c])

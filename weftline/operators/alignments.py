@@ -28,9 +28,12 @@ def assign_contigs(paf: DataFrame, chimera_ratio: float = 0.2, min_frac: float =
     ``unplaced`` and the second ``.``. The length is the largest ``qlen``.
     """
     sums = aligned_per_target(paf)
-    # Both best targets by aggregation, as a contig may have any number of targets.
-    rank = F.struct((-F.col("aligned_bp")).alias("less"), F.col("tname").alias("tname"))
-    best = sums.where("aligned_bp > 0").groupBy("qname").agg(F.slice(F.sort_array(F.collect_list(rank)), 1, 2).alias("top"))
+    # The best target by aggregation, and then the best of the others, as a contig may have any number of targets.
+    rank = F.min(F.struct((-F.col("aligned_bp")).alias("less"), F.col("tname").alias("tname")))
+    some = sums.where("aligned_bp > 0")
+    first = some.groupBy("qname").agg(rank.alias("first"))
+    second = some.join(first, "qname").where("tname <> first.tname").groupBy("qname").agg(rank.alias("second"))
+    best = first.join(second, "qname", "left").select("qname", F.array("first", "second").alias("top"))
     lengths = mapped(paf).groupBy("qname").agg(F.max("qlen").alias("contig_len"))
     at = lambda i: F.try_element_at("top", F.lit(i))
     bases = lambda i: F.coalesce(-at(i).getField("less"), F.lit(0).cast("long"))
@@ -55,8 +58,8 @@ def on_assigned_target(paf: DataFrame, assignment: DataFrame) -> DataFrame:
 def dovetails(paf: DataFrame, min_identity: float = 95.0, min_overlap: int = 1000, slack: int = 500, dedup: bool = True) -> DataFrame:
     """Alignments that join an end of one sequence to an end of another.
 
-    Contained sequences are rejected: those whose both ends lie within
-    ``slack`` of an alignment over nearly all of them. With ``dedup``, of each
+    An alignment joins by the one end of each sequence that lies within
+    ``slack`` of it; one that comes near both ends contains the sequence, and joins nothing. With ``dedup``, of each
     unordered pair of names the alignment of least ``aln_id`` stays.
     """
     rows = mapped(paf).where("qname <> tname").withColumn("pct_identity", percent_identity("nmatch", "alnlen")).withColumn(
@@ -64,10 +67,8 @@ def dovetails(paf: DataFrame, min_identity: float = 95.0, min_overlap: int = 100
     rows = rows.where((F.col("pct_identity") >= min_identity) & (F.col("overlap_len") >= min_overlap))
     for side in "qt":
         start, end, length = (F.col(side + x) for x in ("start", "end", "len"))
-        left, right = start <= slack, length - end <= slack
-        rows = rows.where(left | right).where(~(left & right & (end - start >= length - 2 * slack)))
-        used = F.when(left & right, F.when(start <= length - end, "5p").otherwise("3p")).when(left, "5p").otherwise("3p")
-        rows = rows.withColumn(f"{side}_end_used", used).withColumn(f"{side}_trim", F.when(used == "5p", start).otherwise(length - end))
+        near = F.filter(F.array(*(F.struct(F.lit(name).alias("name"), beyond.alias("beyond")) for name, beyond in (("5p", start), ("3p", length - end)))), lambda x: x.beyond <= slack)
+        rows = rows.withColumn("_near", near).where("size(_near) = 1").withColumn(f"{side}_end_used", F.col("_near")[0]["name"]).withColumn(f"{side}_trim", F.col("_near")[0]["beyond"])
     out = rows.select(
         "aln_id", F.col("qname").alias("q_contig"), "q_end_used", F.col("tname").alias("t_contig"), "t_end_used", "strand",
         F.floor("overlap_len").alias("overlap_len"), F.round("pct_identity", 6).alias("pct_identity"), "q_trim", "t_trim",
@@ -94,9 +95,8 @@ def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str, out
     positive weight give no row.
     """
     sums = df.where(f"{weight} > 0 and {value} is not null").groupBy(*keys, value).agg(F.sum(weight).alias("_w"))
-    totals = sums.groupBy(*keys).agg(F.sum("_w").alias("_total"))
-    ordered = running_totals(sums, keys, value, [value], {"_earlier": "_w"}, width=width)
-    reached = ordered.join(totals, keys).where(2 * (F.col("_earlier") + F.col("_w")) >= F.col("_total"))
+    ordered = running_totals(sums, keys, value, [value], {"_earlier": "_w"}, width=width, wholes={"_total": "_w"})
+    reached = ordered.where(2 * (F.col("_earlier") + F.col("_w")) >= F.col("_total"))
     return reached.groupBy(*keys).agg(F.min(value).alias(out))
 
 

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.alignments import dominant_runs, mapped
-
-CHUNK = "array<struct<q_start: bigint, q_end: bigint, tname: string>>"
+from weftline.session import discard, written
 
 
 def chunks(paf: DataFrame, window: int = 5000, min_chunk: int = 5000, min_frac: float = 0.5) -> DataFrame:
-    """``qname``, ``q_start``, ``q_end``, ``tname``: long stretches of a contig that mostly lie on one target.
+    """``qname``, ``chunk_no``, ``q_start``, ``q_end``, ``tname``: long stretches of a contig that mostly lie on one target.
 
     A run of windows with one dominant target counts if it spans
     ``min_chunk`` bases and ``min_frac`` of the aligned bases in it are on that
@@ -26,56 +24,61 @@ def chunks(paf: DataFrame, window: int = 5000, min_chunk: int = 5000, min_frac:
     bases = F.least("qend", (F.col("window_no") + 1) * window) - F.greatest("qstart", F.col("window_no") * window)
     votes = parts.groupBy("qname", "window_no", "tname").agg(F.sum(bases).alias("votes"))
     best = votes.groupBy("qname", "window_no").agg(
-        F.min_by(F.struct("tname", "votes"), F.struct((-F.col("votes")).alias("less"), "tname")).alias("b"), F.sum("votes").alias("all_votes"),
-        F.map_from_entries(F.collect_list(F.struct("tname", "votes"))).alias("by_target")).select("qname", "window_no", "b.*", "all_votes", "by_target")
+        F.min_by(F.struct("tname", "votes"), F.struct((-F.col("votes")).alias("less"), "tname")).alias("b"), F.sum("votes").alias("all_votes")).select("qname", "window_no", "b.*", "all_votes")
     runs = dominant_runs(best)
-    by_query = Window.partitionBy("qname").orderBy("window_no")
-    changed = F.coalesce((F.lag("tname").over(by_query) != F.col("tname")).cast("int"), F.lit(1))
-    numbered = best.withColumn("_new", changed).withColumn("run_no", F.sum("_new").over(by_query.rowsBetween(Window.unboundedPreceding, 0)))
+    numbered = _numbered(best, "window_no", "run_no")
     purity = numbered.groupBy("qname", "run_no").agg(F.sum("all_votes").alias("bases"), F.sum("votes").alias("to_target"))
     joined = runs.join(purity, ["qname", "run_no"]).join(ends, "qname").select(
         "qname", "run_no", "tname", "bases", "to_target", (F.col("first_window") * window).alias("q_start"), F.least("end", (F.col("last_window") + 1) * window).alias("q_end"))
     kept = joined.where((F.col("q_end") - F.col("q_start") >= min_chunk) & (F.col("to_target") >= min_frac * F.col("bases")))
-    by_run = Window.partitionBy("qname").orderBy("run_no")
-    other = F.coalesce((F.lag("tname").over(by_run) != F.col("tname")).cast("int"), F.lit(1))
-    islands = kept.withColumn("_new", other).withColumn("chunk_no", F.sum("_new").over(by_run.rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy("qname", "chunk_no", "tname").agg(F.min("q_start").alias("q_start"), F.max("q_end").alias("q_end")).select("qname", "chunk_no", "q_start", "q_end", "tname")
+    return _joined_neighbours(kept, "run_no", "chunk_no")
+
+
+def _numbered(df: DataFrame, order: str, number: str) -> DataFrame:
+    """``df`` with a number that grows wherever a contig's target changes."""
+    by_query = Window.partitionBy("qname").orderBy(order)
+    changed = F.coalesce((F.lag("tname").over(by_query) != F.col("tname")).cast("int"), F.lit(1))
+    return df.withColumn("_new", changed).withColumn(number, F.sum("_new").over(by_query.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
 
+def _joined_neighbours(df: DataFrame, order: str, number: str) -> DataFrame:
+    """Stretches of a contig that follow each other on one target, as one."""
+    return _numbered(df, order, number).groupBy("qname", number, "tname").agg(F.min("q_start").alias("q_start"), F.max("q_end").alias("q_end")).select("qname", number, "q_start", "q_end", "tname")
 
-def absorb_islands(found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Join flanks of one target over an island between them that is smaller than both, until none is left."""
+
+def absorb_islands(found: DataFrame) -> DataFrame:
+    """``qname``, ``q_start``, ``q_end``, ``tname`` of chunks in which no island is left.
+
+    An island lies between two chunks of one target and is smaller than either;
+    it goes, and its flanks become one. Two islands can't be neighbours, as
+    each would have to be the smaller one, and flanks only grow, so all islands
+    of all contigs go at once, again and again until there is none, with the
+    same result in any order.
+    """
+    by_query = Window.partitionBy("qname").orderBy("q_start")
+    size = F.col("q_end") - F.col("q_start")
+    current = found.select("qname", "q_start", "q_end", "tname")
     while True:
-        out: list[tuple[int, int, str]] = []
-        rest = list(found)
-        while rest:
-            if len(rest) > 2:
-                (s, e, t), (island_s, island_e, other), (right_s, right_e, again) = rest[:3]
-                if t == again != other and island_e - island_s < min(e - s, right_e - right_s):
-                    out.append((s, right_e, t))
-                    rest = rest[3:]
-                    continue
-            out.append(rest.pop(0))
-        if len(out) == len(found):
-            return out
-        found = out
+        sides = [f("tname", 1).over(by_query) for f in (F.lag, F.lead)]
+        smaller = [size < f(size, 1).over(by_query) for f in (F.lag, F.lead)]
+        island = (sides[0] == sides[1]) & (sides[0] != F.col("tname")) & smaller[0] & smaller[1]
+        marked = written(current.withColumn("island", F.coalesce(island, F.lit(False))))
+        if marked.where("island").isEmpty():
+            return marked.drop("island")
+        current = written(_joined_neighbours(marked.where("not island"), "q_start", "chunk_no").drop("chunk_no"))
+        discard(marked)
 
 
 def breakpoints(paf: DataFrame, window: int = 5000, min_chunk: int = 5000, min_frac: float = 0.5) -> DataFrame:
     """``qname``, ``slice_no``, ``slice_start``, ``slice_end``, ``tname``: contigs of several chunks, cut midway between them.
 
-    Islands are absorbed first. A contig's chunks are an array no longer than its length over ``min_chunk``.
+    Islands are absorbed first. A contig has no more chunks than its length over ``min_chunk``.
     """
-
-    @F.pandas_udf(CHUNK)
-    def absorbed(rows: pd.Series) -> pd.Series:
-        return pd.Series([[{"q_start": s, "q_end": e, "tname": t} for s, e, t in absorb_islands([(c["q_start"], c["q_end"], c["tname"]) for c in row])] for row in rows], dtype=object)
-
     ends = mapped(paf).where("qstart >= 0 and qstart < qend and qend <= qlen").groupBy("qname").agg(F.max("qend").alias("end"))
-    lists = chunks(paf, window, min_chunk, min_frac).groupBy("qname").agg(F.array_sort(F.collect_list(F.struct("q_start", "q_end", "tname"))).alias("c"))
-    several = lists.where(F.size("c") > 1).withColumn("c", absorbed("c")).where(F.size("c") > 1).join(ends, "qname")
-    cut = several.select("qname", "end", "c", F.posexplode("c").alias("slice_no", "x"))
-    # Arrays count from 1, so the chunk before this one is at slice_no and the next at slice_no + 2.
-    before, after = F.element_at("c", F.greatest("slice_no", F.lit(1))), F.try_element_at("c", F.col("slice_no") + 2)
-    start = F.when(F.col("slice_no") == 0, 0).otherwise(F.floor((before.getField("q_end") + F.col("x.q_start")) / 2))
-    end = F.coalesce(F.floor((F.col("x.q_end") + after.getField("q_start")) / 2), F.col("end"))
-    return cut.select("qname", "slice_no", start.cast("long").alias("slice_start"), end.cast("long").alias("slice_end"), "x.tname")
+    whole = absorb_islands(chunks(paf, window, min_chunk, min_frac))
+    by_query = Window.partitionBy("qname").orderBy("q_start")
+    midway = lambda left, right: F.floor((left + right) / 2)
+    cut = whole.select(
+        "qname", "tname", (F.row_number().over(by_query) - 1).alias("slice_no"), F.count(F.lit(1)).over(Window.partitionBy("qname")).alias("of"),
+        F.coalesce(midway(F.lag("q_end").over(by_query), F.col("q_start")), F.lit(0)).alias("slice_start"), midway(F.col("q_end"), F.lead("q_start").over(by_query)).alias("cut")).where("of > 1")
+    return cut.join(ends, "qname").select("qname", "slice_no", F.col("slice_start").cast("long").alias("slice_start"), F.coalesce("cut", "end").cast("long").alias("slice_end"), "tname")

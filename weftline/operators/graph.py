@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.sequences import canonical_link, entry_side, exit_side, orient_of_exit, overlap_length
 from weftline.operators.components import connected_groups
 from weftline.operators.skew import hot_keys, lookup
-from weftline.session import discard, written
+from weftline.session import written, written_counted
 
 
 def whole_links(links: DataFrame) -> DataFrame:
@@ -132,8 +134,9 @@ def outgoing_steps(edges: DataFrame) -> DataFrame:
 def layers(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """``node`` and ``depth``: steps from the nearest of ``starts`` along links in either direction.
 
-    Level by level: the frontier joins the distinct neighbour pairs, and the
-    nodes already seen are taken away. A hot node is in the frontier once, and
+    Level by level: the frontier joins the distinct neighbour pairs, and what
+    it reaches is new unless it lies in the frontier or the one before, as no
+    link leads further back; so no round reads more than that. A hot node is in the frontier once, and
     its pairs are spread by salting. As many rounds as the greatest depth.
     """
     pairs = edges.where("node <> to_node").select("node", "to_node").distinct()
@@ -141,15 +144,15 @@ def layers(edges: DataFrame, starts: DataFrame) -> DataFrame:
     salted = pairs.join(hot, F.col("node") == F.col("_hot"), "left")
     salted = written(salted.select("node", "to_node", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64("to_node"), F.lit(32))).otherwise(F.lit(0).cast("long")).alias("salt"), F.col("_hot").isNotNull().alias("hot")))
     hot_nodes = F.broadcast(written(salted.where("hot").select("node").distinct().withColumn("is_hot", F.lit(True))))  # 100 at most
-    seen = written(starts.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0)))
-    frontier, depth = seen, 0
-    while not frontier.isEmpty():
+    levels, n, depth = [], 1, 0
+    frontier = written(starts.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0)))
+    while n:
+        levels.append(frontier)
         depth += 1
         salts = F.when(F.col("is_hot"), F.sequence(F.lit(0).cast("long"), F.lit(31).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
         spread = frontier.join(hot_nodes, "node", "left").select("node", F.explode(salts).alias("salt"))
         reached = spread.join(salted, ["node", "salt"]).select(F.col("to_node").alias("node")).distinct()
-        frontier = written(reached.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
-        grown = written(seen.unionByName(frontier))
-        discard(seen)
-        seen = grown
-    return seen
+        for level in levels[-2:]:
+            reached = reached.join(level.select("node"), "node", "left_anti")
+        frontier, n = written_counted(reached.withColumn("depth", F.lit(depth)))
+    return reduce(DataFrame.unionByName, levels)

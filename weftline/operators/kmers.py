@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.sequences import canonical_kmer, kmers
+from weftline.operators.ordered import running_totals
 
 
 def segment_records(segments: DataFrame, k: int) -> DataFrame:
@@ -37,8 +38,11 @@ def node_depths(segments: DataFrame, counts: DataFrame, k: int) -> DataFrame:
     per_kmer = per_node.groupBy("kmer").agg(F.sum("times").alias("positions"))
     shares = per_kmer.join(counts, "kmer", "left").select("kmer", (F.coalesce("n", F.lit(0)) / F.col("positions")).alias("share"))
     given = per_node.join(shares, "kmer")
-    pooled = given.groupBy("name").agg(
-        F.sum(F.col("share") * F.col("times")).alias("total"), F.expr("percentile(share, 0.5, times)").alias("median"), F.sum("times").alias("kn"))
+    # The middle position, or both middle ones, by running totals over the distinct shares of a name.
+    ordered = running_totals(given.groupBy("name", "share").agg(F.sum("times").alias("times")), ["name"], "share", ["share"], {"before": "times"}, width=1 / 64, wholes={"kn": "times"})
+    middle = (2 * F.col("before") <= F.col("kn")) & (2 * (F.col("before") + F.col("times")) >= F.col("kn"))
+    pooled = ordered.groupBy("name").agg(
+        F.sum(F.col("share") * F.col("times")).alias("total"), ((F.min(F.when(middle, F.col("share"))) + F.max(F.when(middle, F.col("share")))) / 2).alias("median"), F.max("kn").alias("kn"))
     names = segments.where("name is not null").select("name").distinct()
     every = names.join(pooled, "name", "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))

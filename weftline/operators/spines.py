@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators.components import connected_groups
 from weftline.operators.graph import neighbour_counts, tips
-from weftline.operators.skew import hot_keys
+from weftline.operators.skew import hot_keys, lookup
 from weftline.session import discard, written
 
 SALTS = 32
@@ -174,7 +174,7 @@ def bubble_regions(links: DataFrame, edges: DataFrame, segments: DataFrame, ends
     groups = written(connected_groups(cut, "from_seg", "to_seg", kept_tips, "node", "name", "part"))
     side = lambda tip: ends.select("component", F.col(tip).alias("name")).join(groups, "name").select("component", "part")
     whole = side("tip_a").join(side("tip_b"), ["component", "part"])
-    return groups.join(whole, "part").select("name", "component")
+    return lookup(groups, "part", whole, "component", F.col("name")).where("component is not null").select("name", "component")
 
 
 def layered_edges(edges: DataFrame, depths: DataFrame) -> DataFrame:

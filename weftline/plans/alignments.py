@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.functions.sequences import organelle_name, percent_identity
+from weftline.functions.sequences import ORGANELLE_PREFIXES, ORGANELLES, organelle_name, percent_identity
 from weftline.operators import alignments as a
 from weftline.operators import chimeras
 from weftline.operators import graph as g
@@ -98,6 +98,10 @@ def w07_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chimeras.chunks(_paf(spark, d))
 
 
+def w08_absorbed(spark: SparkSession, d: str) -> DataFrame:
+    return chimeras.absorb_islands(chimeras.chunks(_paf(spark, d)))
+
+
 def w09_breakpoints(spark: SparkSession, d: str) -> DataFrame:
     return chimeras.breakpoints(_paf(spark, d))
 
@@ -109,7 +113,7 @@ def h19_walk_starts(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    h19_walk_starts, w07_chunks, w09_breakpoints, a03_aligned_bp, a04_assign_contigs, j02_on_assigned_target, j04_queries_without_segment, p03_dovetails, sc15_identity, sc14_organelles, a07_query_positions,
+    h19_walk_starts, w07_chunks, w08_absorbed, w09_breakpoints, a03_aligned_bp, a04_assign_contigs, j02_on_assigned_target, j04_queries_without_segment, p03_dovetails, sc15_identity, sc14_organelles, a07_query_positions,
     a06_weighted_median, a05_place_contigs, a17_status_counts, agp1_scaffolds, a16_walked_bp, j07_overlap_counts, j08_window_votes, w06_dominant_runs, w14_first_per_pair,
 )}
 
@@ -145,9 +149,9 @@ with rows_ as (
     coalesce(clen, 0) as contig_len, case when bases / total < 0.7 or total < 5000 then 'ambiguous' else 'placed' end as status
   from best b join med m using (qname, tname) where rn = 1
 )"""
-_ORGANELLE = "(upper({0}) in ('MT', 'PT', 'M', 'C', 'CP', 'CHRMT', 'CHRPT', 'CHRM', 'CHRC', 'CHRCP', 'MITOCHONDRION', 'MITOCHONDRIA', 'PLASTID', 'CHLOROPLAST') or regexp_matches(upper({0}), '^((CHR)?(MT|PT)_|CHR[MC]_|(MITO|PLASTID|CHLORO)_)'))"
+_ORGANELLE = f"(upper({{0}}) in {ORGANELLES} or {' or '.join(f"starts_with(upper({{0}}), '{p}')" for p in ORGANELLE_PREFIXES)})"
 _VOTES = """
-with parts as (
+with recursive parts as (
   select qname, tname, qstart, qend, unnest(range(qstart // 5000, (qend - 1) // 5000 + 1)) as window_no from paf
   where qname is not null and tname <> '*' and qstart >= 0 and qstart < qend and qend <= qlen
 ), sums as (
@@ -155,6 +159,40 @@ with parts as (
 ), votes_ as (
   select * from sums qualify row_number() over (partition by qname, window_no order by votes desc, tname) = 1
 )"""
+_CHUNKS = _VOTES + """, changed as (
+  select *, case when lag(tname) over (partition by qname order by window_no) = tname then 0 else 1 end as new_ from votes_
+), numbered as (
+  select *, cast(sum(new_) over (partition by qname order by window_no rows unbounded preceding) as bigint) as run_no from changed
+), wholes as (
+  select qname, window_no, sum(votes) as whole from sums group by 1, 2
+), runs as (
+  select n.qname, run_no, n.tname, min(window_no) as first_window, max(window_no) as last_vote, sum(votes) as own, sum(whole) as whole from numbered n join wholes using (qname, window_no) group by 1, 2, 3
+), spans as (
+  select r.*, first_window * 5000 as cs, least(e.qe, (coalesce(lead(first_window) over (partition by r.qname order by run_no) - 1, last_vote) + 1) * 5000) as ce
+  from runs r join (select qname, max(qend) as qe from parts group by 1) e on e.qname = r.qname
+), kept as (
+  select *, case when lag(tname) over (partition by qname order by run_no) = tname then 0 else 1 end as new_ from spans where ce - cs >= 5000 and own >= 0.5 * whole
+), islands as (
+  select *, cast(sum(new_) over (partition by qname order by run_no rows unbounded preceding) as bigint) as chunk_no from kept
+), chunks_ as (
+  select qname, chunk_no, min(cs) as q_start, max(ce) as q_end, tname from islands group by qname, chunk_no, tname
+)"""
+_ABSORBED = """, rounds(round_, qname, q_start, q_end, tname, going) as (
+  select 0, qname, q_start, q_end, tname, true from chunks_
+  union all
+  select round_ + 1, qname, min(q_start), max(q_end), tname, bool_or(any_left) from (
+    select *, sum(new_) over (partition by qname order by q_start rows unbounded preceding) as no from (
+      select *, case when lag(tname) over (partition by qname order by q_start) = tname then 0 else 1 end as new_ from (
+        select *, bool_or(island) over (partition by qname) as any_left from (
+          select *, coalesce(lag(tname) over w = lead(tname) over w and lag(tname) over w <> tname and q_end - q_start < least(lag(q_end - q_start) over w, lead(q_end - q_start) over w), false) as island
+          from rounds where going window w as (partition by qname order by q_start)
+        )
+      ) where not island
+    )
+  ) group by round_, qname, no, tname
+), absorbed as (
+  select qname, q_start, q_end, tname from rounds where not going
+)"""
 SQL = {
     "a03_aligned_bp": "select qname, tname, cast(coalesce(sum(qend - qstart), 0) as bigint) as aligned_bp, count(*) as n_alns from paf where qname is not null and tname <> '*' group by 1, 2",
     "a04_assign_contigs": _ASSIGNED + """
@@ -169,9 +207,8 @@ with rows_ as (
     qstart <= 20000 as ql, qlen - qend <= 20000 as qr, tstart <= 20000 as tl, tlen - tend <= 20000 as tr
   from paf where qname is not null and tname <> '*' and qname <> tname
 ), kept as (
-  select *, case when ql and qr then case when qstart <= qlen - qend then '5p' else '3p' end when ql then '5p' else '3p' end as q_end_used,
-    case when tl and tr then case when tstart <= tlen - tend then '5p' else '3p' end when tl then '5p' else '3p' end as t_end_used
-  from rows_ where pct >= 80 and span >= 300 and (ql or qr) and (tl or tr) and not (ql and qr and qend - qstart >= qlen - 40000) and not (tl and tr and tend - tstart >= tlen - 40000)
+  select *, case when ql then '5p' else '3p' end as q_end_used, case when tl then '5p' else '3p' end as t_end_used
+  from rows_ where pct >= 80 and span >= 300 and ql <> qr and tl <> tr
 )
 select aln_id, qname as q_contig, q_end_used, tname as t_contig, t_end_used, strand, cast(floor(span) as bigint) as overlap_len, round(pct, 6) as pct_identity,
   case when q_end_used = '5p' then qstart else qlen - qend end as q_trim, case when t_end_used = '5p' then tstart else tlen - tend end as t_trim, q_end_used || '-' || t_end_used as join_type
@@ -221,23 +258,14 @@ select a.chrom, a.unit, count(b.unit) as n_overlaps from placed a left join plac
   select qname, cast(run_no as bigint) as run_no, tname, min(window_no) as first_window, max(window_no) as last_vote, cast(sum(votes) as bigint) as votes from numbered group by 1, 2, 3
 )
 select qname, run_no, tname, first_window, coalesce(lead(first_window) over (partition by qname order by run_no) - 1, last_vote) as last_window, votes from runs""",
-    "w07_chunks": _VOTES + """, changed as (
-  select *, case when lag(tname) over (partition by qname order by window_no) = tname then 0 else 1 end as new_ from votes_
-), numbered as (
-  select *, cast(sum(new_) over (partition by qname order by window_no rows unbounded preceding) as bigint) as run_no from changed
-), wholes as (
-  select qname, window_no, sum(votes) as whole from sums group by 1, 2
-), runs as (
-  select n.qname, run_no, n.tname, min(window_no) as first_window, max(window_no) as last_vote, sum(votes) as own, sum(whole) as whole from numbered n join wholes using (qname, window_no) group by 1, 2, 3
-), spans as (
-  select r.*, first_window * 5000 as cs, least(e.qe, (coalesce(lead(first_window) over (partition by r.qname order by run_no) - 1, last_vote) + 1) * 5000) as ce
-  from runs r join (select qname, max(qend) as qe from parts group by 1) e on e.qname = r.qname
-), kept as (
-  select *, case when lag(tname) over (partition by qname order by run_no) = tname then 0 else 1 end as new_ from spans where ce - cs >= 5000 and own >= 0.5 * whole
-), islands as (
-  select *, cast(sum(new_) over (partition by qname order by run_no rows unbounded preceding) as bigint) as chunk_no from kept
+    "w07_chunks": _CHUNKS + " select qname, chunk_no, q_start, q_end, tname from chunks_",
+    "w08_absorbed": _CHUNKS + _ABSORBED + " select qname, q_start, q_end, tname from absorbed",
+    "w09_breakpoints": _CHUNKS + _ABSORBED + """, cut as (
+  select qname, tname, row_number() over w - 1 as slice_no, count(*) over (partition by qname) as of_,
+    coalesce((lag(q_end) over w + q_start) // 2, 0) as slice_start, (q_end + lead(q_start) over w) // 2 as cut_at from absorbed window w as (partition by qname order by q_start)
 )
-select qname, chunk_no, min(cs) as q_start, max(ce) as q_end, tname from islands group by qname, chunk_no, tname""",
+select qname, cast(slice_no as int) as slice_no, cast(slice_start as bigint) as slice_start, cast(coalesce(cut_at, qe) as bigint) as slice_end, tname
+from cut join (select qname, max(qend) as qe from parts group by 1) using (qname) where of_ > 1""",
     "h19_walk_starts": """
 with pos as (
   select qname, tname, min(tstart) as s, max(tend) as e, case when max(tend) > min(tstart) then round(coalesce(sum(nmatch), 0) / (max(tend) - min(tstart)), 6) else 1.0 end as quality

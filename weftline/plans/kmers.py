@@ -42,7 +42,7 @@ def a13_node_depths(spark: SparkSession, d: str) -> DataFrame:
 def k05_annotated_tags(spark: SparkSession, d: str) -> DataFrame:
     """Every declaration's tags with those of an earlier annotation replaced."""
     depths = k.node_depths(table(spark, d, "segments"), _reads(spark, d), K)
-    new = F.format_string("KC:i:%d\tkn:i:%d", "kc", "kn")
+    new = F.format_string("KC:i:%d\tDP:f:%.4f\tad:f:%.4f\tkn:i:%d", "kc", "dp", "ad", "kn")
     segments = table(spark, d, "segments").where("name is not null").select("seg_id", "name", "tags")
     tagged = lookup(segments, "name", depths.select("name", new.alias("depth_tags")), "depth_tags", F.col("seg_id"))
     kept = without_depth_tags("tags")
@@ -132,5 +132,5 @@ select link_id, s || case when ov < length(t) then substr(t, cast(ov as bigint)
   select seg_id, name, array_to_string(list_filter(string_split(coalesce(tags, ''), chr(9)), lambda t: t <> '' and split_part(t, ':', 1) not in ('KC', 'DP', 'dp', 'ad', 'kn')), chr(9)) as k
   from segments where name is not null
 )
-select seg_id, case when k <> '' then k || chr(9) else '' end || 'KC:i:' || kc || chr(9) || 'kn:i:' || kn as tags from kept join depths using (name)""",
+select seg_id, case when k <> '' then k || chr(9) else '' end || printf('KC:i:%d	DP:f:%.4f	ad:f:%.4f	kn:i:%d', kc, dp, ad, kn) as tags from kept join depths using (name)""",
 }
