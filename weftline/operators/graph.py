@@ -82,14 +82,15 @@ def visit_budgets(edges: DataFrame, segments: DataFrame, aligned: DataFrame, def
     return all_.select("node", F.col("n_neighbours").alias("degree"), "in_bubble", "aligned", F.when(~F.col("aligned"), F.greatest(budget, F.lit(default))).otherwise(budget).alias("budget"))
 
 
-def component_summary(links: DataFrame, segments: DataFrame, min_len: int = 1000) -> DataFrame:
+def component_summary(links: DataFrame, segments: DataFrame, min_len: int = 1000, groups: DataFrame | None = None) -> DataFrame:
     """Per connected component: segments, their bases, overlapped bases, unique bases, and its rank among those of ``min_len`` on.
 
     Components are named by their smallest name. Unique bases are segment
     bases less overlaps, 0 at least; the rank goes by unique bases and then
     the name, and is null for small components.
     """
-    groups = written(connected_groups(links, "from_seg", "to_seg", segments, "name", "name", "component"))
+    if groups is None:
+        groups = written(connected_groups(links, "from_seg", "to_seg", segments, "name", "name", "component"))
     lengths = segment_lengths(segments)
     per_group = groups.join(lengths, "name", "left").groupBy("component").agg(F.count(F.lit(1)).alias("n_segments"), F.coalesce(F.sum("length"), F.lit(0)).alias("seg_bp"))
     # Every link lies in the component of its first end; sums per name come first, so a hot name is joined once.

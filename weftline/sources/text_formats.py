@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.sequences import names_of_walk
+from weftline.operators.skew import lookup
 
 PAF_COLUMNS = ("qname", "qlen", "qstart", "qend", "strand", "tname", "tlen", "tstart", "tend", "nmatch", "alnlen", "mapq")
 PAF_TEXT = ("qname", "strand", "tname")
@@ -55,7 +56,7 @@ def links_of(records: DataFrame, missing_overlap: str = "*") -> DataFrame:
 
 
 def routes_of(records: DataFrame) -> DataFrame:
-    """``line_no``, ``rec`` and the segment ``name`` by which a record is sent to a component.
+    """``line_no``, ``rec``, ``fields`` and the segment ``name`` by which a record is sent to a component.
 
     S by its name, L and C by their first segment, P and W by the first of
     their steps; H and unknown records have a null name and belong everywhere;
@@ -66,14 +67,48 @@ def routes_of(records: DataFrame) -> DataFrame:
         F.when(F.col("rec").isin("S", "L", "C"), _field(2)).when(F.col("rec") == "P", first_step)
         .when(F.col("rec") == "W", F.try_element_at(names_of_walk(_field(7)), F.lit(1)))
     )
-    return records.where("rec <> 'A'").select("line_no", "rec", name.alias("name"))
+    return records.where("rec <> 'A'").select("line_no", "rec", name.alias("name"), "fields")
 
 
-def read_paf(spark: SparkSession, path: str, min_aln: int = 0) -> DataFrame:
-    """The twelve columns of alignment lines with at least so many fields; comments and shorter alignments are left out."""
+def read_paf(spark: SparkSession, path: str, min_aln: int = 0, target: str | None = None, include: DataFrame | None = None) -> DataFrame:
+    """The twelve columns of alignment lines with at least so many fields; comments and shorter alignments are left out.
+
+    With ``target`` only its alignments count, and with ``include`` only those of its ``qname``.
+    """
     records = read_records(spark, path).where("rec not like '#%' and size(fields) >= 12")
     typed = [(_field(i + 1) if n in PAF_TEXT else F.expr(f"try_cast(element_at(fields, {i + 1}) as bigint)")).alias(n) for i, n in enumerate(PAF_COLUMNS)]
-    return records.select(*typed, "line_no").where(F.col("alnlen") >= min_aln)
+    rows = records.select(*typed, "line_no").where(F.col("alnlen") >= min_aln)
+    rows = rows if target is None else rows.where(F.col("tname") == target)
+    return rows if include is None else rows.join(include.select("qname"), "qname", "left_semi")
+
+
+def read_tips(spark: SparkSession, path: str) -> DataFrame:
+    """``comp_id`` and the array ``tips`` of a tip table: all columns that the header calls ``tip`` and something, without ``.``."""
+    rows = spark.read.csv(path, sep="\t", header=True, quote="")
+    named = [F.col(c) for c in rows.columns if c.startswith("tip")]
+    return rows.select("comp_id", F.filter(F.array(*named), lambda t: t.isNotNull() & (t != ".")).alias("tips"))
+
+
+def read_kmers(spark: SparkSession, path: str, k: int) -> DataFrame:
+    """``kmer`` and ``node`` of tab-separated lines, and whether the line is ``good``: two fields, the first of ``k`` letters."""
+    parts = F.split("value", "\t", 2)
+    good = (F.size(parts) == 2) & (F.length(parts[0]) == k)
+    return spark.read.text(path).select(F.when(good, parts[0]).alias("kmer"), F.when(good, F.try_element_at(parts, F.lit(2))).alias("node"), good.alias("good"))
+
+
+def routed(lines: DataFrame, groups: DataFrame, targets: DataFrame) -> DataFrame:
+    """``target``, ``rec``, ``fields`` of each record: where its segment's component goes, or to every target where it has no segment.
+
+    ``lines`` are records with their route ``name``; ``groups`` give the
+    component of a name and ``targets`` the ``target`` of a component. Records of
+    unknown segments are dropped. Headers and unknown records belong in every
+    target; there they are as many times as there are targets.
+    """
+    of_name = groups.join(targets, "component").select("name", "target")
+    own = lookup(lines.where("name is not null"), "name", of_name, "target", F.col("line_no")).where("target is not null")
+    everywhere = lines.where("name is null and rec not in ('S', 'L', 'C', 'P', 'W')").withColumn("_all", F.lit(1))
+    every = everywhere.join(targets.select("target").distinct().withColumn("_all", F.lit(1)), "_all")
+    return own.select("target", "rec", "fields").unionByName(every.select("target", "rec", "fields"))
 
 
 def read_sizes(spark: SparkSession, path: str) -> DataFrame:
