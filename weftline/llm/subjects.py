@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,28 +90,15 @@ def _weights(counted: DataFrame, least: float) -> DataFrame:
     return pure.select("term", "area", purity.alias("weight"))
 
 
-def _texts(own: DataFrame, known: DataFrame) -> DataFrame:
-    """A row per distinct sentence: ``text_id``, ``words``, ``terms``, and ``uses``, how often it stands in each language and in documents of which trusted areas.
+def _sure(placed: DataFrame, weights: DataFrame, support: float) -> DataFrame:
+    """``placed`` with the ``area`` of the sentences whose terms speak for one area clearly enough.
 
-    Uses are few: languages times the combinations of areas that annotators gave.
+    Nothing is shuffled, as the sentences lie by ``sid`` already.
     """
-    uses = own.join(known, "doc_id", "left").groupBy("words", "lang", "trusted").agg(F.count(F.lit(1)).alias("n"))
-    texts = uses.groupBy("words").agg(F.collect_list(F.struct("lang", "trusted", "n")).alias("uses"))
-    terms = F.array_distinct(F.filter(F.split("words", " "), lambda w: F.length(w) > 2))
-    return texts.select(F.monotonically_increasing_id().alias("text_id"), "words", terms.alias("terms"), "uses")
-
-
-def _uses(of: Callable[[Column], Column]) -> Column:
-    """How often a sentence stands in documents whose use ``of`` holds for."""
-    return F.aggregate(F.filter("uses", of), F.lit(0).cast("long"), lambda n, u: n + u.n)
-
-
-def _labels(texts: DataFrame, weights: DataFrame, support: float) -> DataFrame:
-    """``text_id``, ``area`` of the sentences whose terms speak for one area clearly enough."""
-    scores = texts.select("text_id", F.explode("terms").alias("term")).join(_sized(weights), "term").groupBy("text_id", "area").agg(F.sum("weight").alias("score"))
-    ranked = scores.groupBy("text_id").agg(F.max(F.struct("score", "area")).alias("best"), F.sort_array(F.collect_list("score"), asc=False).alias("all"))  # a score per area
+    scores = placed.select("sid", F.explode("terms").alias("term")).join(_sized(weights), "term").groupBy("sid", "area").agg(F.sum("weight").alias("score"))
+    ranked = scores.groupBy("sid").agg(F.max(F.struct("score", "area")).alias("best"), F.sort_array(F.collect_list("score"), asc=False).alias("all"))  # a score per area
     sure = ranked.where((F.col("best.score") >= support) & (F.coalesce(F.try_element_at("all", F.lit(2)), F.lit(0.0)) <= RIVAL * F.col("best.score")))
-    return sure.select("text_id", "best.area")
+    return placed.join(sure.select("sid", "best.area"), "sid")
 
 
 def label_sentences(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str | None = "lang", thread: str | None = None,
@@ -119,7 +107,7 @@ def label_sentences(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_
 
     ``row`` tells repeated rows of ``documents`` apart. The graph joins
     sentences through the terms they share; it is kept as the incidence of
-    distinct sentences and terms, so no pairs of sentences are formed. Edges are
+    sentences and terms, so no pairs of sentences are formed. Edges are
     verified: sentences that ``phrase_share`` of all threads have word for word
     (messages that say the same sentences in the same order are of one thread,
     and so are those of one ``thread``, a column of their root)
@@ -130,7 +118,7 @@ def label_sentences(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_
     Seeds are the majority labels of ``labels``; while labels spread their
     documents stay clamped: no sentence of theirs passes on an area that the
     annotators didn't give. Each round passes areas from terms to sentences and
-    back by joins and sums, until a round labels the same sentences as the one before, or as
+    back by joins and sums, until each term is passed the same areas as often as in the round before, or in
     any earlier one, between which they would go round for ever. In the end every document keeps all
     areas that its sentences get, the seeds too, as annotators make mistakes.
     Without ``spread`` only what the seeds' terms say is applied.
@@ -148,36 +136,40 @@ def label_sentences(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_
     phrases = written(apart.where(F.col("n") >= max(4, phrase_share * n_threads)).select("words"))
     own = said.join(_sized(phrases), "words", "left_anti")
 
-    # A sentence's areas depend on its terms alone, so each distinct one is judged once and counts as often as it stands.
-    texts = written(_texts(own, _sized(written(trusted_labels(labels)))))
-    counts = texts.select(F.explode("terms").alias("term"), "uses").select("term", F.explode("uses").alias("u")).groupBy("term", "u.lang").agg(F.sum("u.n").alias("n"))
+    split = own.select("row", "doc_id", "lang", "sid", F.array_distinct(F.filter(F.split("words", " "), lambda w: F.length(w) > 2)).alias("terms"))
+    counts = split.select("lang", F.explode("terms").alias("term")).groupBy("term", "lang").agg(F.count(F.lit(1)).alias("n"))
     by_term = counts.groupBy("term").agg(F.sum("n").alias("of"), F.max_by("lang", F.struct("n", "lang")).alias("lang"))
     vocabulary = _sized(written(by_term.where(F.col("of") >= max(3, term_share * n_documents))))
 
+    known = _sized(written(trusted_labels(labels)))
+    # Kept by sentence for the rounds; what an executor loses comes again from the written sentences.
+    placed = split.join(known, "doc_id", "left").repartition("sid").persist(StorageLevel.DISK_ONLY)
+
     # First what the seeds say: each sentence of a labelled document counts for its areas in equal parts.
-    seeds = texts.select("terms", F.explode("uses").alias("u")).where("u.trusted is not null").select(F.explode("terms").alias("term"), "u.trusted", "u.n").join(vocabulary.select("term", "lang"), "term")
-    seen = seeds.groupBy("term", "lang").agg(F.sum("n").alias("of"))
-    given = seeds.select("term", F.explode("trusted").alias("area"), (F.col("n") / F.size("trusted")).alias("part")).groupBy("term", "area").agg(F.sum("part").alias("n"))
+    of_seeds = placed.where("trusted is not null").select("trusted", F.explode("terms").alias("term")).join(vocabulary.select("term", "lang"), "term")
+    seen = of_seeds.groupBy("term", "lang").agg(F.count(F.lit(1)).alias("of"))
+    given = of_seeds.select("term", F.explode("trusted").alias("area"), (1 / F.size("trusted")).alias("part")).groupBy("term", "area").agg(F.sum("part").alias("n"))
     weights = written(_weights(given.join(seen, "term").withColumn("labelled", F.col("of")), PURITY))
 
     passed_before: set[tuple] = set()
     while spread:
-        sure = written(_labels(texts, weights, SPREADING_SUPPORT))
-        state = tuple(sure.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("text_id", "area"))).first())
         # No sentence of a seed passes on an area that the seed doesn't have.
-        passing = texts.join(sure, "text_id").select("area", "terms", _uses(lambda u: u.trusted.isNull() | F.array_contains(u.trusted, F.col("area"))).alias("n"))
-        agreed = written(passing.select("area", F.explode("terms").alias("term"), "n").groupBy("term", "area").agg(F.sum("n").alias("n")).where("n > 0").join(vocabulary, "term"))
-        counted = agreed.join(agreed.groupBy("term").agg(F.sum("n").alias("labelled")), "term")
-        discard(weights)
+        passing = _sure(placed, weights, SPREADING_SUPPORT).where("trusted is null or array_contains(trusted, area)")
+        agreed = written(passing.select("area", F.explode("terms").alias("term")).groupBy("term", "area").agg(F.count(F.lit(1)).alias("n")).join(vocabulary, "term"))
+        state = tuple(agreed.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("term", "area", "n"))).first())
         stable = state in passed_before
         passed_before.add(state)
+        counted = agreed.join(agreed.groupBy("term").agg(F.sum("n").alias("labelled")), "term")
+        discard(weights)
         weights = written(_weights(counted, PURITY if stable else SPREADING_PURITY))
-        discard(sure)
         discard(agreed)
         if stable:
             break
-    named = written(_labels(texts, weights, SUPPORT).join(texts.select("text_id", "words"), "text_id").select("words", "area"))
-    return own.join(_sized(named), "words").select("row", "doc_id", "sid", "area")
+    out = written(_sure(placed, weights, SUPPORT).select("row", "doc_id", "sid", "area"))
+    placed.unpersist()
+    for done in (weights, said):
+        discard(done)
+    return out
 
 
 def subject_areas(documents: DataFrame, labels: DataFrame, areas: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str | None = "lang", thread: str | None = None) -> DataFrame:
