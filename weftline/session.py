@@ -41,6 +41,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_by(df: DataFrame, key: str) -> DataFrame:
+    """``written``, in as many buckets of ``key`` as a shuffle has partitions: grouping by it and joining on it shuffle nothing."""
+    spark, name = df.sparkSession, f"weftline_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{shared_dir(spark)}/{name.replace('_', '-')}"
+    df.repartition(n, key).write.format("parquet").option("path", path).bucketBy(n, key).saveAsTable(name)  # one file a bucket
+    return spark.table(name)
+
+
 def written_counted(df: DataFrame) -> tuple[DataFrame, int]:
     """``written``, and how many rows were written, observed on the way."""
     seen = Observation()
@@ -49,9 +58,10 @@ def written_counted(df: DataFrame) -> tuple[DataFrame, int]:
 
 
 def discard(df: DataFrame) -> None:
-    """Delete a table made by ``written`` that nothing will read again."""
+    """Delete a table made by ``written`` or ``written_by`` that nothing will read again."""
     spark = df.sparkSession
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if "/weftline-" in path:
+            spark.sql(f"drop table if exists weftline_{path.rpartition('/weftline-')[2]}")
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
