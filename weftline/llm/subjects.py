@@ -6,12 +6,11 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.messages import message_sentences, sentence_words
-from weftline.session import discard, written
+from weftline.session import discard, written, written_by
 
 #: A sentence that this share of all threads (four at least) have word for word is a set phrase; copies of a message count once.
 PHRASE_SHARE = 0.007
@@ -142,8 +141,7 @@ def label_sentences(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_
     vocabulary = _sized(written(by_term.where(F.col("of") >= max(3, term_share * n_documents))))
 
     known = _sized(written(trusted_labels(labels)))
-    # Kept by sentence for the rounds; what an executor loses comes again from the written sentences.
-    placed = split.join(known, "doc_id", "left").repartition("sid").persist(StorageLevel.DISK_ONLY)
+    placed = written_by(split.join(known, "doc_id", "left"), "sid")  # no round shuffles it
 
     # First what the seeds say: each sentence of a labelled document counts for its areas in equal parts.
     of_seeds = placed.where("trusted is not null").select("trusted", F.explode("terms").alias("term")).join(vocabulary.select("term", "lang"), "term")
@@ -166,8 +164,7 @@ def label_sentences(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_
         if stable:
             break
     out = written(_sure(placed, weights, SUPPORT).select("row", "doc_id", "sid", "area"))
-    placed.unpersist()
-    for done in (weights, said):
+    for done in (placed, weights, said):
         discard(done)
     return out
 
