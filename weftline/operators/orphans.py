@@ -72,6 +72,7 @@ def orphan_references(refs: DataFrame, ref_keys: list[str], parents: DataFrame,
     otherwise the columns that aren't null must match some parent). With ``at``
     (a column of ``refs``) and ``life`` (two of ``parents``, all three integers that aren't null) only
     parents with begin <= at < end count. Keys are compared as text. An empty table gives no rows, repeated rows all come out.
+    Other columns of ``refs`` are kept and those of ``parents`` ignored, whatever their names.
 
     The mask is part of the key, so one join serves all masks and references
     are read once; parents are reduced to distinct keys of each mask first, or
@@ -79,23 +80,27 @@ def orphan_references(refs: DataFrame, ref_keys: list[str], parents: DataFrame,
     """
     if match not in MATCHES:
         raise ValueError(f"unknown match semantics: {match}")
-    null = [F.col(k).isNull() for k in ref_keys]
+    named = lambda c: F.col(f"`{c}`")
+    null = [named(k).isNull() for k in ref_keys]
     some, whole = F.exists(F.array(*null), lambda x: x), F.forall(F.array(*null), lambda x: x)
     mask = F.concat(*(n.cast("int").cast("string") for n in null))
-    key = F.struct(mask.alias("mask"), *(F.col(k).cast("string").alias(f"k{i}") for i, k in enumerate(ref_keys)))
-    asked = refs.where(~(some if match == "simple" else whole)).withColumn("_key", key).withColumn("_row", F.monotonically_increasing_id())
+    fields, held = [f"k{i}" for i in range(len(ref_keys))], [f"c{i}" for i in range(len(refs.columns))]
+    key = F.struct(mask.alias("mask"), *(named(k).cast("string").alias(f) for f, k in zip(fields, ref_keys, strict=True)))
+    # Under names of our own, as the columns of the tables may have any.
+    asked = refs.where(~(some if match == "simple" else whole)).select(
+        *(named(c).alias(h) for h, c in zip(held, refs.columns, strict=True)), key.alias("_key"), F.monotonically_increasing_id().alias("_row"), (named(at).cast("long") if at else F.lit(None)).alias("_at"))
+    having = [named(k).alias(f) for f, k in zip(fields, parent_keys, strict=True)]
     hopeless = (F.col("_key.mask") != "0" * len(ref_keys)) if match == "full" else F.lit(False)
-    fields = [f"k{i}" for i in range(len(ref_keys))]
     if at is None or life is None:
-        named = _of_masks(parents.select(*parent_keys), parent_keys, match).select("_key").distinct().withColumn("_there", F.lit(True))
-        told = lookup(asked, "_key", named, "_there", F.col("_row"))
+        known = _of_masks(parents.select(*having), fields, match).select("_key").distinct().withColumn("_there", F.lit(True))
+        told = lookup(asked, "_key", known, "_there", F.col("_row"))
     else:
         begin, end = life
-        lives = _of_masks(parents.select(*parent_keys, F.col(begin).alias("_begin"), F.col(end).alias("_end")), parent_keys, match)
+        lives = _of_masks(parents.select(*having, named(begin).alias("_begin"), named(end).alias("_end")), fields, match)
         merged = periods_and_gaps(lives.select("_key.*", "_begin", "_end"), ["mask", *fields], "_begin", "_end", WEEK).where("kind = 'period'")
         alive = merged.select(F.struct("mask", *fields).alias("_key"), "pos_start", "pos_end")
-        told = _alive_at(asked.withColumn("_at", F.col(at)), alive, hot_keys(asked, "_key"))
-    return told.where(hopeless | F.col("_there").isNull() | ~F.col("_there")).select(*refs.columns)
+        told = _alive_at(asked, alive, hot_keys(asked, "_key"))
+    return told.where(hopeless | F.col("_there").isNull() | ~F.col("_there")).select(*(F.col(h).alias(c) for h, c in zip(held, refs.columns, strict=True)))
 
 
 def dangling_ends(links: DataFrame, segments: DataFrame, ends: tuple[str, ...] = ("from_seg", "to_seg")) -> DataFrame:

@@ -39,11 +39,11 @@ def lookup(left: DataFrame, key: str, right: DataFrame, value: str, spread: Colu
     marked = left.join(F.broadcast(hot_values), F.col(key) == F.col("_hot"), "left")
     settled = F.col("_hot").isNotNull() | F.col(key).isNull()
     marked = (
-        marked.withColumn("_key", F.when(~settled, F.col(key)))
+        marked.withColumn("_probe", F.when(~settled, F.col(key)))
         .withColumn("_salt", F.when(settled, F.xxhash64(spread)).otherwise(F.lit(0).cast("long")))
     )
     values = right.select(F.col(key).alias("_rkey"), F.col(value).alias("_value"), F.lit(0).cast("long").alias("_rsalt"))
-    joined = marked.join(values, (F.col("_key") == F.col("_rkey")) & (F.col("_salt") == F.col("_rsalt")), "left")
+    joined = marked.join(values, (F.col("_probe") == F.col("_rkey")) & (F.col("_salt") == F.col("_rsalt")), "left")
     found = F.when(F.col("_hot").isNotNull(), F.col("_hot_value").getField(value)).otherwise(F.col("_value"))
     keep = [F.col(c) for c in left.columns if c != value]
     return joined.select(*keep, found.alias(value))
