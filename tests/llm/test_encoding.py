@@ -67,3 +67,9 @@ def test_corpus(spark, max_words):
     assert encode_corpus(df.limit(0)).count() == 0
     counted = with_token_counts(df).select("doc_id", "n_tokens").collect()
     assert sum(r.n_tokens for r in counted) == sum(map(len, want(texts)))
+
+
+def test_the_vocabulary_goes_to_workers_without_its_folder(spark):
+    encoding.publish_vocabulary(spark, TOKENIZERS)
+    table = spark.range(1).select("id").mapInPandas(lambda batches: (b.assign(n=len(encoding._merger("/nowhere")("Hello there"))) for b in batches), "id long, n int")
+    assert [r.n for r in table.collect()] == [len(want(["Hello there"])[0])]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import os
 import re
 import uuid
 from collections import Counter
@@ -12,13 +13,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.lexicon import Lexicon, compile_lexicon, packed
 from weftline.session import shared_dir
 
 TOKENIZERS = "/opt/tokenizers"
+VOCABULARY = "byte_bpe_50k.tiktoken"
 # Fixed values of the tokenizer: how a text is cut before merging, and what its \s means (Unicode's White_Space,
 # without the four separators that Python adds).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -48,12 +50,18 @@ def _splitter():
     return _of_process["split"]
 
 
+def publish_vocabulary(spark: SparkSession, tokenizers: str) -> None:
+    """Give the vocabulary file to all executors, for those whose machine doesn't have the folder."""
+    spark.sparkContext.addFile(f"{tokenizers}/{VOCABULARY}")
+
+
 def _merger(path: str):
     """Exact merging of one word that is already cut."""
     if path not in _of_process:
         import tiktoken
 
-        with open(f"{path}/byte_bpe_50k.tiktoken", "rb") as lines:
+        here = f"{path}/{VOCABULARY}"
+        with open(here if os.path.exists(here) else SparkFiles.get(VOCABULARY), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         _of_process[path] = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     return _of_process[path]
@@ -111,6 +119,7 @@ def publish_lexicon(documents: DataFrame, text: str = "text", tokenizers: str =
     At most ``max_words`` words of at most ``MAX_CHARS`` characters reach the driver.
     """
     spark = documents.sparkSession
+    publish_vocabulary(spark, tokenizers)
     merge = _merger(tokenizers)
     words = [r.word for r in frequent_words(documents, text, max_words).select("word").toLocalIterator()]
     name = f"lexicon-{uuid.uuid4().hex}"
@@ -243,5 +252,6 @@ def with_token_counts(documents: DataFrame, text: str = "text", out: str = "n_to
         for texts in batches:
             yield pd.Series(map(counter, texts), dtype="int64")
 
+    publish_vocabulary(documents.sparkSession, tokenizers)
     # Called nondeterministic, as the optimizer would evaluate it again for a filter on the count.
     return documents.withColumn(out, count.asNondeterministic()(F.col(text)))
