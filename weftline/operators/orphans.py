@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators.intervals import periods_and_gaps
 from weftline.operators.skew import hot_keys, lookup
+from weftline.session import written
 
 FOREVER = 2**62
 #: Copies of what lived in a zone of a hot key, and so parts of its references there.
@@ -124,7 +125,7 @@ def dangling_ends(links: DataFrame, segments: DataFrame, ends: tuple[str, ...] =
         F.coalesce(F.unix_micros(F.col("loaded_at").cast("timestamp")), F.lit(-FOREVER)).alias("born"),
         F.coalesce(F.unix_micros(F.col("deleted_at").cast("timestamp")), F.lit(FOREVER)).alias("died"),
     )
-    orphans = orphan_references(refs, ["name"], lives, ["name"], "simple", "at", ("born", "died"))
+    orphans = written(orphan_references(refs, ["name"], lives, ["name"], "simple", "at", ("born", "died")))  # read for its hot keys too
     first = lives.groupBy("name").agg(F.min("born").alias("first_born"))
     told = lookup(orphans, "name", first, "first_born", F.col("link_id"))
     reason = F.when(F.col("first_born").isNull(), "missing").when(F.col("first_born") > F.col("at"), "late").otherwise("deleted")
