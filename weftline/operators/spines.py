@@ -19,7 +19,7 @@ SALTS = 32
 #: Tips of a component that are swept first; each batch after it is four times as large.
 FIRST_BATCH = 4
 #: Components of up to so many pairs of neighbours are searched in one task each, larger ones by joins; the spines are the same.
-SMALL = 20_000
+SMALL = 500_000
 SPINE = "component string, tip_a string, tip_b string, spine_bp long, second_bp long"
 
 

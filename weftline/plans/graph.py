@@ -214,10 +214,10 @@ def snk05_fasta(spark: SparkSession, d: str) -> DataFrame:
     return t.fasta_records(kept, "name", "seq", 60).withColumnRenamed("value", "record")
 
 
-def _spines(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _spines(spark: SparkSession, d: str, groups: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     links, segments = table(spark, d, "links"), table(spark, d, "segments")
     edges = written(g.half_edges(links))
-    return edges, written(sp.spine_ends(edges, segments, _groups(spark, d), g.segment_lengths(segments)))
+    return edges, written(sp.spine_ends(edges, segments, _groups(spark, d) if groups is None else groups, g.segment_lengths(segments)))
 
 
 def g07_spine_ends(spark: SparkSession, d: str) -> DataFrame:

@@ -225,11 +225,12 @@ def g13_reachable_states(spark: SparkSession, d: str) -> DataFrame:
 
 def u02_between_tips(spark: SparkSession, d: str) -> DataFrame:
     """Of each component, the nodes that both ends of its spine reach without passing through the other."""
-    edges, ends = pg._spines(spark, d)
+    groups = pg._groups(spark, d)
+    edges, ends = pg._spines(spark, d, groups)
     tip = lambda start, stop: F.struct(F.concat("component", F.lit("|"), F.lit(start)).alias("source"), F.col(start).alias("node"), F.col(stop).alias("stop"))
     both = written(ends.select("component", F.explode(F.array(tip("tip_a", "tip_b"), tip("tip_b", "tip_a"))).alias("x")).select("component", "x.*"))
     steps = edges.where("node <> to_node").select("node", "to_node")
-    found = r.reached(steps, both.select("source", "node"), ["node"], both.select("source", F.col("stop").alias("node")))
+    found = r.reached(steps, both.select("source", "node"), ["node"], both.select("source", F.col("stop").alias("node")), groups)
     per = found.join(both.select("source", "component"), "source").groupBy("component", "node").agg(F.count(F.lit(1)).alias("n"))
     return per.where("n = 2").select("component", "node")
 
