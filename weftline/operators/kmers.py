@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.sequences import canonical_kmer, kmers
 from weftline.operators.ordered import running_totals
+from weftline.session import written
 
 
 def segment_records(segments: DataFrame, k: int) -> DataFrame:
@@ -31,20 +32,21 @@ def node_depths(segments: DataFrame, counts: DataFrame, k: int) -> DataFrame:
     its positions. Positions are first counted per name and k-mer and the
     shares joined to those counts, so neither a hot name nor a hot k-mer
     is spread over rows. The total is rounded half to even; names without
-    positions have zeros.
+    positions have zeros. A plan takes a table of k-mers to be about as large as the
+    files of its segments, so the joins are told not to broadcast one.
     """
     positions = canonical_kmers(segments.where("name is not null"), "seq", k, "name")
     per_node = positions.groupBy("name", "kmer").agg(F.count(F.lit(1)).alias("times"))
     per_kmer = per_node.groupBy("kmer").agg(F.sum("times").alias("positions"))
-    shares = per_kmer.join(counts, "kmer", "left").select("kmer", (F.coalesce("n", F.lit(0)) / F.col("positions")).alias("share"))
-    given = per_node.join(shares, "kmer")
+    shares = per_kmer.join(counts.hint("merge"), "kmer", "left").select("kmer", (F.coalesce("n", F.lit(0)) / F.col("positions")).alias("share"))
+    given = written(per_node.join(shares.hint("merge"), "kmer").groupBy("name", "share").agg(F.sum("times").alias("times")))
     # The middle position, or both middle ones, by running totals over the distinct shares of a name.
-    ordered = running_totals(given.groupBy("name", "share").agg(F.sum("times").alias("times")), ["name"], "share", ["share"], {"before": "times"}, width=1 / 64, wholes={"kn": "times"})
+    ordered = running_totals(given.hint("merge"), ["name"], "share", ["share"], {"before": "times"}, width=1 / 64, wholes={"kn": "times"})
     middle = (2 * F.col("before") <= F.col("kn")) & (2 * (F.col("before") + F.col("times")) >= F.col("kn"))
     pooled = ordered.groupBy("name").agg(
         F.sum(F.col("share") * F.col("times")).alias("total"), ((F.min(F.when(middle, F.col("share"))) + F.max(F.when(middle, F.col("share")))) / 2).alias("median"), F.max("kn").alias("kn"))
     names = segments.where("name is not null").select("name").distinct()
-    every = names.join(pooled, "name", "left")
+    every = names.join(pooled.hint("merge"), "name", "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return every.select(
         "name", F.rint(F.round(zero(F.col("total")), 6)).cast("long").alias("kc"), F.round(zero(F.col("median")), 4).alias("dp"),

@@ -11,6 +11,7 @@ from weftline.operators import graph as g
 from weftline.operators import kmers as k
 from weftline.operators.faulty import loaded, parse_lines
 from weftline.operators.skew import lookup
+from weftline.session import written
 from weftline.sources.tables import table
 
 #: The reference recommends 29.
@@ -41,7 +42,7 @@ def a13_node_depths(spark: SparkSession, d: str) -> DataFrame:
 
 def k05_annotated_tags(spark: SparkSession, d: str) -> DataFrame:
     """Every declaration's tags with those of an earlier annotation replaced."""
-    depths = k.node_depths(table(spark, d, "segments"), _reads(spark, d), K)
+    depths = written(k.node_depths(table(spark, d, "segments"), _reads(spark, d), K)).hint("merge")
     new = F.format_string("KC:i:%d\tDP:f:%.4f\tad:f:%.4f\tkn:i:%d", "kc", "dp", "ad", "kn")
     segments = table(spark, d, "segments").where("name is not null").select("seg_id", "name", "tags")
     tagged = lookup(segments, "name", depths.select("name", new.alias("depth_tags")), "depth_tags", F.col("seg_id"))
