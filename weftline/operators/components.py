@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +10,8 @@ from weftline.operators.skew import HOT_SHARE, lookup
 from weftline.session import discard, written, written_counted
 
 LOW = (1 << 32) - 1
+#: Groups of up to so many pairs and names are cut up in tasks, larger ones by contraction; and the rows of a task that holds many groups.
+SMALL, ROWS = 500_000, 200_000
 
 
 def _half(word: Column, key: int) -> Column:
@@ -106,3 +109,44 @@ def connected_groups(pairs: DataFrame, left: str, right: str, vertices: DataFram
     least = named.where("label is not null").groupBy("label").agg(F.min("name").alias("least"))
     grouped = lookup(named, "label", least, "least", F.col("name"))
     return grouped.select(F.col("name").alias(out_vertex), F.coalesce("least", "name").alias(out_group))
+
+
+def _labels(out_vertex: str, out_group: str):
+    """The least name of each connected group of the pairs ``a``, ``b`` of whole known groups, names alone having no ``b``."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(set(rows["a"]) | set(rows["b"].dropna()))
+        number = {x: i for i, x in enumerate(names)}
+        root = list(range(len(names)))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        both = rows[rows["b"].notna()]
+        for a, b in zip(both["a"], both["b"], strict=True):
+            x, y = find(number[a]), find(number[b])
+            root[max(x, y)] = min(x, y)
+        return pd.DataFrame({out_vertex: names, out_group: [names[find(i)] for i in range(len(names))]}, dtype=object)
+
+    return run
+
+
+def groups_within(pairs: DataFrame, left: str, right: str, vertices: DataFrame, vertex: str, known: DataFrame,
+                  out_vertex: str = "vertex", out_group: str = "group_name", small: int = SMALL) -> DataFrame:
+    """``connected_groups`` of pairs that never leave a known group (``name``, ``component``) of their names.
+
+    Known groups of up to ``small`` pairs and names are cut up in tasks, many to a task; larger ones by ``connected_groups``.
+    """
+    ends = pairs.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a is not null and b is not null")
+    ends = ends.unionByName(vertices.select(F.col(vertex).alias("a")).where("a is not null"), allowMissingColumns=True)
+    placed, n = written_counted(lookup(ends, "a", known.select(F.col("name").alias("a"), "component"), "component", F.xxhash64("b")))
+    large = written(placed.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > small).select("component"))
+    share = F.pmod(F.xxhash64("component"), F.lit(max(n // ROWS + 1, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    found = placed.join(large, "component", "left_anti").groupBy(share.alias("share")).applyInPandas(_labels(out_vertex, out_group), f"{out_vertex} string, {out_group} string")
+    if large.isEmpty():
+        return found
+    rest = written(placed.join(large, "component", "left_semi"))
+    return found.unionByName(connected_groups(rest.where("b is not null"), "a", "b", rest, "a", out_vertex, out_group))

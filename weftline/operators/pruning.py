@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.sequences import canonical_link
-from weftline.operators.components import connected_groups
+from weftline.operators.components import connected_groups, groups_within
 from weftline.operators.graph import half_edges, segment_lengths, tips
 from weftline.operators.spines import bubble_regions, spine_ends
 from weftline.session import written, written_counted
@@ -31,6 +31,7 @@ def spine_rounds(links: DataFrame, segments: DataFrame, min_size: int = 1, toler
     (``below_rescue_threshold``). Of others (``ok``) the bubble region of the spine
     stays. It ends after a round that keeps nothing, or after ``rounds``
     more than the first. A component is named by its round and its least name.
+    Only the first round's components are found by contraction; later ones lie within them.
     """
     names = written(segments.where("name is not null").select("name").distinct())
     lengths = written(segment_lengths(segments))
@@ -40,7 +41,10 @@ def spine_rounds(links: DataFrame, segments: DataFrame, min_size: int = 1, toler
         left = reduce(lambda df, done: df.join(done, "name", "left_anti"), kept, names)
         left = written(left)
         inner = written(between(whole, left))
-        groups = written(connected_groups(inner, "from_seg", "to_seg", left, "name", "name", "component"))
+        if round_no:
+            groups = written(groups_within(inner, "from_seg", "to_seg", left, "name", whole_groups, "name", "component"))
+        else:
+            groups = whole_groups = written(connected_groups(inner, "from_seg", "to_seg", left, "name", "name", "component"))
         edges = written(half_edges(inner))
         ends = written(spine_ends(edges, left, groups, lengths, tolerance))
         n_tips = tips(edges, left).select(F.col("node").alias("name"), F.lit(1).alias("tip"))
@@ -56,7 +60,7 @@ def spine_rounds(links: DataFrame, segments: DataFrame, min_size: int = 1, toler
             F.concat(F.lit(f"{round_no}."), "component").alias("comp_id"), F.lit(round_no).alias("round"), "status", "size", "n_tips",
             F.when(shown, F.col("tip_a")).alias("tip1"), F.when(shown, F.col("tip_b")).alias("tip2"), F.when(shown, spine).otherwise(0).alias("spine_len_bp"),
             F.coalesce(shown & F.col("ambiguous"), F.lit(False)).alias("ambiguous"), F.when(shown, F.coalesce("second_bp", F.lit(0))).otherwise(0).alias("second_best_bp")))
-        regions = bubble_regions(inner, edges, left, ends.join(facts.where("status = 'ok'").select("component"), "component", "left_semi"))
+        regions = bubble_regions(inner, edges, left, ends.join(facts.where("status = 'ok'").select("component"), "component", "left_semi"), whole_groups)
         if not round_no:
             passed = groups.join(facts.where("status in ('too_small', 'too_few_tips')").select("component"), "component", "left_semi")
             regions = regions.unionByName(passed.select("name", "component"))

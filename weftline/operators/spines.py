@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.operators.components import connected_groups
+from weftline.operators.components import connected_groups, groups_within
 from weftline.operators.graph import neighbour_counts, tips
 from weftline.operators.skew import hot_keys, lookup
 from weftline.session import discard, written
@@ -164,14 +164,20 @@ def _spines_by_joins(edges: DataFrame, groups: DataFrame, lengths: DataFrame, en
     return best
 
 
-def bubble_regions(links: DataFrame, edges: DataFrame, segments: DataFrame, ends: DataFrame) -> DataFrame:
-    """``name``, ``component``: what stays connected with both ends of a component's spine once its other tips are taken away."""
+def bubble_regions(links: DataFrame, edges: DataFrame, segments: DataFrame, ends: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """``name``, ``component``: what stays connected with both ends of a component's spine once its other tips are taken away.
+
+    With groups that no link leaves (``known``), those are searched in tasks.
+    """
     kept_tips = ends.select(F.explode(F.array("tip_a", "tip_b")).alias("node"))
     others = written(tips(edges, segments).select("node").join(kept_tips, "node", "left_anti"))
     cut = links
     for end in ("from_seg", "to_seg"):
         cut = cut.join(others.select(F.col("node").alias(end)), end, "left_anti")
-    groups = written(connected_groups(cut, "from_seg", "to_seg", kept_tips, "node", "name", "part"))
+    if known is None:
+        groups = written(connected_groups(cut, "from_seg", "to_seg", kept_tips, "node", "name", "part"))
+    else:
+        groups = written(groups_within(cut, "from_seg", "to_seg", kept_tips, "node", known, "name", "part"))
     side = lambda tip: ends.select("component", F.col(tip).alias("name")).join(groups, "name").select("component", "part")
     whole = side("tip_a").join(side("tip_b"), ["component", "part"])
     return lookup(groups, "part", whole, "component", F.col("name")).where("component is not null").select("name", "component")
