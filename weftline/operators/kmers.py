@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.functions.sequences import canonical_kmer, kmers
 from weftline.operators.ordered import running_totals
 from weftline.session import written
 
+#: The longest k-mer whose number fits 62 bits; characters of a piece beside the k - 1 that it shares with the next.
+PACKED, PIECE = 31, 4096
+#: The digit of each byte, -1 for what isn't a base.
+DIGITS = np.full(256, -1, np.int64)
+DIGITS[list(b"ACGTacgt")] = [0, 1, 2, 3] * 2
+COMPLEMENT = str.maketrans("ACGT", "TGCA")
+
 
 def segment_records(segments: DataFrame, k: int) -> DataFrame:
     """Declarations that keep a sequence of ``k`` bases or more: ``seg_id``, ``name``, ``seq``, ``n_kmers``."""
@@ -25,21 +37,78 @@ def kmer_counts(df: DataFrame, seq: str, k: int) -> DataFrame:
     return canonical_kmers(df, seq, k).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
-def node_depths(segments: DataFrame, counts: DataFrame, k: int) -> DataFrame:
+def _packed(digits: np.ndarray, k: int) -> np.ndarray:
+    """The smaller of the numbers, base 4, of every window of ``k`` digits and of its reverse complement."""
+    forward, back, n = digits, 3 - digits, 1
+    for bit in f"{k:b}"[1:]:
+        m = len(forward) - n
+        forward, back, n = (forward[:m] << 2 * n) | forward[n:], back[:m] | (back[n:] << 2 * n), 2 * n
+        if bit == "1":
+            m = len(forward) - 1
+            forward, back, n = (forward[:m] << 2) | digits[n : n + m], back[:m] | ((3 - digits[n : n + m]) << 2 * n), n + 1
+    return np.minimum(forward, back)
+
+
+def _windows(batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
+    """A row per k-mer of ``piece``, all of ``k`` characters or more; the other columns are repeated."""
+    pieces = batch.column("piece").to_pylist()
+    bases = "".join(pieces)
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    counts = sizes - (k - 1)
+    of = np.repeat(np.arange(len(pieces)), counts)
+    at = np.arange(len(of)) + of * (k - 1)  # every piece before has k - 1 more characters than windows
+    digits = DIGITS[np.frombuffer(bases.encode("ascii", "replace"), np.uint8)]
+    others = np.concatenate(([0], np.cumsum(digits < 0)))
+    odd = others[at + k] > others[at] if k <= PACKED else np.ones(len(at), bool)
+    code = np.where(odd, -1, _packed(np.maximum(digits, 0), k)[at]) if k <= PACKED else np.full(len(at), -1)
+    texts = [min(u, u[::-1].translate(COMPLEMENT)) for u in (bases[i : i + k].upper() for i in at[odd].tolist())]
+    text = pa.array(texts, pa.string()).take(pa.array(np.cumsum(odd) - 1, mask=~odd)) if texts else pa.nulls(len(at), pa.string())
+    kept = batch.drop_columns(["piece"])
+    return pa.RecordBatch.from_arrays([*(c.take(pa.array(of)) for c in kept.columns), pa.array(code, pa.int64()), text], [*kept.schema.names, "code", "text"])
+
+
+def packed_kmers(df: DataFrame, seq: str, k: int, totals: list[str]) -> DataFrame:
+    """A row per position of every distinct sequence: the other columns, and the canonical k-mer as ``code``, or as ``text`` (code -1) if it has other letters than ACGT.
+
+    Sequences are cut into pieces that share ``k - 1`` characters. Equal pieces
+    with equal columns become one, with the sums of ``totals``, before k-mers are made of them.
+    """
+    keep = [c for c in df.columns if c != seq and c not in totals]
+    starts = F.sequence(F.lit(1), F.greatest(F.length(seq) - (k - 1), F.lit(1)), F.lit(PIECE))
+    cut = F.transform(starts, lambda i: F.substring(F.col(seq), i, F.lit(PIECE + k - 1)))
+    pieces = df.where((F.col(seq) != "*") & (F.length(seq) >= k)).select(*keep, *totals, F.explode(cut).alias("piece"))
+    distinct = pieces.groupBy(*keep, "piece").agg(*(F.sum(c).alias(c) for c in totals))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # About as many characters at a time as make a megabyte of codes, one piece at least.
+            ends = np.cumsum(np.fromiter((len(x.as_py()) for x in batch.column("piece")), np.int64, len(batch)))
+            first = 0
+            while first < len(batch):
+                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + (1 << 17))))
+                yield _windows(batch.slice(first, last - first), k)
+                first = last
+
+    schema = T.StructType([*(f for f in distinct.schema if f.name != "piece"), T.StructField("code", T.LongType()), T.StructField("text", T.StringType())])
+    return distinct.mapInArrow(run, schema)
+
+
+def node_depths(segments: DataFrame, reads: DataFrame, k: int) -> DataFrame:
     """Per segment name: total, median and mean of the depths given to its k-mer positions, and how many there are.
 
-    The count of a k-mer (0 where ``counts`` has none) is shared equally by all
-    its positions. Positions are first counted per name and k-mer and the
-    shares joined to those counts, so neither a hot name nor a hot k-mer
-    is spread over rows. The total is rounded half to even; names without
-    positions have zeros. A plan takes a table of k-mers to be about as large as the
-    files of its segments, so the joins are told not to broadcast one.
+    ``reads`` has sequences ``seq`` and how often each was read, ``n`` (a table of k-mer
+    counts is one). The count of a k-mer (0 if it wasn't read) is shared equally by all
+    its positions, those of nameless segments too. Positions and reads go through one shuffle,
+    as numbers, and are counted where they meet; equal sequences of a name are one
+    before that, so a hot name isn't spread over rows. Nothing joins on k-mers, so no plan can broadcast them.
+    The total is rounded half to even; names without positions have zeros.
     """
-    positions = canonical_kmers(segments.where("name is not null"), "seq", k, "name")
-    per_node = positions.groupBy("name", "kmer").agg(F.count(F.lit(1)).alias("times"))
-    per_kmer = per_node.groupBy("kmer").agg(F.sum("times").alias("positions"))
-    shares = per_kmer.join(counts.hint("merge"), "kmer", "left").select("kmer", (F.coalesce("n", F.lit(0)) / F.col("positions")).alias("share"))
-    given = written(per_node.join(shares.hint("merge"), "kmer").groupBy("name", "share").agg(F.sum("times").alias("times")))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    both = segments.select("name", "seq", one.alias("times"), zero.alias("reads")).unionByName(reads.select(F.lit(None).cast("string").alias("name"), "seq", zero.alias("times"), F.col("n").cast("long").alias("reads")))
+    kmer = Window.partitionBy("code", "text")
+    met = packed_kmers(both, "seq", k, ["times", "reads"]).select("name", "times", F.sum("reads").over(kmer).alias("read"), F.sum("times").over(kmer).alias("positions"))
+    shares = met.where("name is not null").select("name", "times", (F.col("read") / F.col("positions")).alias("share"))
+    given = written(shares.groupBy("name", "share").agg(F.sum("times").alias("times")))
     # The middle position, or both middle ones, by running totals over the distinct shares of a name.
     ordered = running_totals(given.hint("merge"), ["name"], "share", ["share"], {"before": "times"}, width=1 / 64, wholes={"kn": "times"})
     middle = (2 * F.col("before") <= F.col("kn")) & (2 * (F.col("before") + F.col("times")) >= F.col("kn"))
@@ -47,7 +116,7 @@ def node_depths(segments: DataFrame, counts: DataFrame, k: int) -> DataFrame:
         F.sum(F.col("share") * F.col("times")).alias("total"), ((F.min(F.when(middle, F.col("share"))) + F.max(F.when(middle, F.col("share")))) / 2).alias("median"), F.max("kn").alias("kn"))
     names = segments.where("name is not null").select("name").distinct()
     every = names.join(pooled.hint("merge"), "name", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    filled = lambda c: F.coalesce(c, F.lit(0.0))
     return every.select(
-        "name", F.rint(F.round(zero(F.col("total")), 6)).cast("long").alias("kc"), F.round(zero(F.col("median")), 4).alias("dp"),
-        F.round(zero(F.col("total") / F.col("kn")), 4).alias("ad"), F.coalesce("kn", F.lit(0).cast("long")).alias("kn"))
+        "name", F.rint(F.round(filled(F.col("total")), 6)).cast("long").alias("kc"), F.round(filled(F.col("median")), 4).alias("dp"),
+        F.round(filled(F.col("total") / F.col("kn")), 4).alias("ad"), F.coalesce("kn", zero).alias("kn"))

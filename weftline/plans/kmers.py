@@ -27,12 +27,12 @@ def k04_canonical_kmers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _reads(spark: SparkSession, d: str) -> DataFrame:
-    return k.kmer_counts(loaded(parse_lines(table(spark, d, "raw_lines").where("rec = 'S'")), "S"), "seq", K)
+    return loaded(parse_lines(table(spark, d, "raw_lines").where("rec = 'S'")), "S").select("seq", F.lit(1).alias("n"))
 
 
 def j06_kmers_with_reads(spark: SparkSession, d: str) -> DataFrame:
     positions = k.kmer_counts(table(spark, d, "segments"), "seq", K)
-    reads = _reads(spark, d).withColumnRenamed("n", "reads")
+    reads = k.kmer_counts(_reads(spark, d), "seq", K).withColumnRenamed("n", "reads")
     return positions.join(reads, "kmer", "left").na.fill(0, ["reads"]).select("kmer", F.col("n").alias("positions"), "reads")
 
 
