@@ -87,5 +87,5 @@ def test_kmers_are_counted_where_they_meet(spark, tmp_path, monkeypatch):
     assert got == {"rep": (2002, 2000), "b": (2, 4)}  # two of four k-mers are in both
     plan = tables[0]._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange") == 3
-    made = kmers.packed_kmers(segments.selectExpr("name", "seq", "1L as times", "0L as reads"), "seq", 29, ["times", "reads"])
+    made = kmers.met_kmers(segments.selectExpr("name", "seq", "1L as times", "0L as reads"), "seq", 29, ["times", "reads"])
     assert made.count() == 8

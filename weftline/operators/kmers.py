@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -10,12 +11,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.functions.sequences import canonical_kmer, kmers
+from weftline.functions.sequences import canonical_kmer, kmers, reverse_complement
 from weftline.operators.ordered import running_totals
 from weftline.session import written
 
-#: The longest k-mer whose number fits 62 bits; characters of a piece beside the k - 1 that it shares with the next.
-PACKED, PIECE = 31, 4096
+#: The longest k-mer whose number fits 62 bits; windows of a piece, and of a run, at most.
+PACKED, PIECE, LONGEST = 31, 4096, 64
+#: Spreads numbers over 64 bits, so that the least is no favourite of poor sequences.
+MIX = np.uint64(0x9E3779B97F4A7C15)
 #: The digit of each byte, -1 for what isn't a base.
 DIGITS = np.full(256, -1, np.int64)
 DIGITS[list(b"ACGTacgt")] = [0, 1, 2, 3] * 2
@@ -49,29 +52,50 @@ def _packed(digits: np.ndarray, k: int) -> np.ndarray:
     return np.minimum(forward, back)
 
 
-def _windows(batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
-    """A row per k-mer of ``piece``, all of ``k`` characters or more; the other columns are repeated."""
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of every ``width`` values in a row."""
+    n = 1
+    while 2 * n <= width:
+        values, n = np.minimum(values[: len(values) - n], values[n:]), 2 * n
+    return np.minimum(values[: len(values) - (width - n)], values[width - n :])
+
+
+def _runs(batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
+    """A row per run of neighbouring windows of ``piece`` that share ``meet``, the least mixed number of the shorter k-mers within, either strand; the other columns are repeated.
+
+    ``bases`` has the run's ``windows``. A window with other letters than ACGT has a row to itself, with ``windows`` 0 and its canonical
+    text as ``bases``. All windows of one canonical k-mer share ``meet``. Pieces have ``k`` characters or more.
+    """
     pieces = batch.column("piece").to_pylist()
     bases = "".join(pieces)
-    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    counts = sizes - (k - 1)
+    counts = np.fromiter(map(len, pieces), np.int64, len(pieces)) - (k - 1)
     of = np.repeat(np.arange(len(pieces)), counts)
     at = np.arange(len(of)) + of * (k - 1)  # every piece before has k - 1 more characters than windows
-    digits = DIGITS[np.frombuffer(bases.encode("ascii", "replace"), np.uint8)]
+    digits, part = DIGITS[np.frombuffer(bases.encode("ascii", "replace"), np.uint8)], min((k + 1) // 2, PACKED)
     others = np.concatenate(([0], np.cumsum(digits < 0)))
-    odd = others[at + k] > others[at] if k <= PACKED else np.ones(len(at), bool)
-    code = np.where(odd, -1, _packed(np.maximum(digits, 0), k)[at]) if k <= PACKED else np.full(len(at), -1)
-    texts = [min(u, u[::-1].translate(COMPLEMENT)) for u in (bases[i : i + k].upper() for i in at[odd].tolist())]
-    text = pa.array(texts, pa.string()).take(pa.array(np.cumsum(odd) - 1, mask=~odd)) if texts else pa.nulls(len(at), pa.string())
+    odd = others[at + k] > others[at]
+    mixed = _packed(np.maximum(digits, 0), part).astype(np.uint64) * MIX
+    meet = _least(((mixed ^ (mixed >> np.uint64(29))) >> np.uint64(1)).astype(np.int64), k - part + 1)[at]
+    new = odd | ((np.arange(len(of)) - (np.cumsum(counts) - counts)[of]) % LONGEST == 0)
+    new[1:] |= odd[:-1] | (meet[1:] != meet[:-1])
+    first = np.flatnonzero(new)
+    windows = np.diff(np.append(first, len(at)))
+    strings = [bases[i:j].upper() for i, j in zip(at[first].tolist(), (at[first] + windows + (k - 1)).tolist(), strict=True)]
+    for i in np.flatnonzero(odd[first]).tolist():
+        strings[i], windows[i] = min(strings[i], strings[i][::-1].translate(COMPLEMENT)), 0
+        meet[first[i]] = crc32(strings[i].encode())
     kept = batch.drop_columns(["piece"])
-    return pa.RecordBatch.from_arrays([*(c.take(pa.array(of)) for c in kept.columns), pa.array(code, pa.int64()), text], [*kept.schema.names, "code", "text"])
+    columns = [*(c.take(pa.array(of[first])) for c in kept.columns), pa.array(meet[first], pa.int64()), pa.array(windows, pa.int32()), pa.array(strings, pa.string())]
+    return pa.RecordBatch.from_arrays(columns, [*kept.schema.names, "meet", "windows", "bases"])
 
 
-def packed_kmers(df: DataFrame, seq: str, k: int, totals: list[str]) -> DataFrame:
-    """A row per position of every distinct sequence: the other columns, and the canonical k-mer as ``code``, or as ``text`` (code -1) if it has other letters than ACGT.
+def met_kmers(df: DataFrame, seq: str, k: int, totals: list[str]) -> DataFrame:
+    """A row per position of every distinct sequence: the other columns, the canonical ``kmer``, and what all rows of it ``meet`` on.
 
     Sequences are cut into pieces that share ``k - 1`` characters. Equal pieces
-    with equal columns become one, with the sums of ``totals``, before k-mers are made of them.
+    with equal columns become one, with the sums of ``totals``. Runs of neighbouring k-mers are
+    shuffled by ``meet``, a few bytes a k-mer, and k-mers are made of them behind
+    the shuffle; what is grouped by ``meet`` and ``kmer`` needs no other.
     """
     keep = [c for c in df.columns if c != seq and c not in totals]
     starts = F.sequence(F.lit(1), F.greatest(F.length(seq) - (k - 1), F.lit(1)), F.lit(PIECE))
@@ -86,11 +110,14 @@ def packed_kmers(df: DataFrame, seq: str, k: int, totals: list[str]) -> DataFram
             first = 0
             while first < len(batch):
                 last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + (1 << 17))))
-                yield _windows(batch.slice(first, last - first), k)
+                yield _runs(batch.slice(first, last - first), k)
                 first = last
 
-    schema = T.StructType([*(f for f in distinct.schema if f.name != "piece"), T.StructField("code", T.LongType()), T.StructField("text", T.StringType())])
-    return distinct.mapInArrow(run, schema)
+    fields = [T.StructField("meet", T.LongType()), T.StructField("windows", T.IntegerType()), T.StructField("bases", T.StringType())]
+    runs = distinct.mapInArrow(run, T.StructType([*(f for f in distinct.schema if f.name != "piece"), *fields])).repartition("meet")
+    every = runs.withColumn("back", reverse_complement("bases")).withColumn("i", F.explode(F.sequence(F.lit(1), F.greatest("windows", F.lit(1)))))
+    either = F.least(F.substring("bases", F.col("i"), F.lit(k)), F.substring("back", F.col("windows") + 1 - F.col("i"), F.lit(k)))
+    return every.select(*keep, *totals, "meet", F.when(F.col("windows") == 0, F.col("bases")).otherwise(either).alias("kmer"))
 
 
 def node_depths(segments: DataFrame, reads: DataFrame, k: int) -> DataFrame:
@@ -99,14 +126,14 @@ def node_depths(segments: DataFrame, reads: DataFrame, k: int) -> DataFrame:
     ``reads`` has sequences ``seq`` and how often each was read, ``n`` (a table of k-mer
     counts is one). The count of a k-mer (0 if it wasn't read) is shared equally by all
     its positions, those of nameless segments too. Positions and reads go through one shuffle,
-    as numbers, and are counted where they meet; equal sequences of a name are one
+    as runs, and are counted where they meet; equal sequences of a name are one
     before that, so a hot name isn't spread over rows. Nothing joins on k-mers, so no plan can broadcast them.
     The total is rounded half to even; names without positions have zeros.
     """
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     both = segments.select("name", "seq", one.alias("times"), zero.alias("reads")).unionByName(reads.select(F.lit(None).cast("string").alias("name"), "seq", zero.alias("times"), F.col("n").cast("long").alias("reads")))
-    kmer = Window.partitionBy("code", "text")
-    met = packed_kmers(both, "seq", k, ["times", "reads"]).select("name", "times", F.sum("reads").over(kmer).alias("read"), F.sum("times").over(kmer).alias("positions"))
+    kmer = Window.partitionBy("meet", "kmer")
+    met = met_kmers(both, "seq", k, ["times", "reads"]).select("name", "times", F.sum("reads").over(kmer).alias("read"), F.sum("times").over(kmer).alias("positions"))
     shares = met.where("name is not null").select("name", "times", (F.col("read") / F.col("positions")).alias("share"))
     given = written(shares.groupBy("name", "share").agg(F.sum("times").alias("times")))
     # The middle position, or both middle ones, by running totals over the distinct shares of a name.
